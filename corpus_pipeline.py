@@ -11,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import langid, linededup, mixing, packing, simhash
 from gridloom.llm.queries import tokenizer_path
-from gridloom.llm.shared import held_out, work_path
+from gridloom.llm.shared import held_out, unwrap, work_path, wrap
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without a letter or unlike every language go."""
     model = langid.fit(docs, ~held_out(docs["doc_id"]))
-    return langid.identify(docs, model, docs.columns).where("NOT rejected").select(*[f"`{c}`" for c in docs.columns])
+    rows = wrap(docs)
+    return unwrap(langid.identify(rows, model, rows.columns).where("NOT rejected"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut from the texts; every row stays."""
-    return linededup.dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns])
+    return unwrap(linededup.dedup_lines(wrap(docs)), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, joined, pick, written
+from .shared import WORD, joined, pick, unwrap, wrap, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -62,5 +62,5 @@ def copies(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as :func:`copies` says, with the input's columns."""
-    found = copies(docs, seed, **options).where("copies > 0")
-    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    found = copies(wrap(docs), seed, **options).where("copies > 0")
+    return unwrap(found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs.columns)

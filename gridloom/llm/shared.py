@@ -48,6 +48,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+#: Columns of documents that operators read by name.
+NAMED = ("doc_id", "text", "lang", "source")
+
+
+def wrap(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column that operators do not read renamed, so that none clashes with their own."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in NAMED else f"__c{i}") for i, c in enumerate(docs.columns)])
+
+
+def unwrap(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of a wrapped table under their names again, without those that an operator has added."""
+    return df.select(*[F.col(c if c in NAMED else f"__c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def with_text(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and, last, the text as ``__text``."""
     return docs.select(*[docs[f"`{n}`"] for n in keep], docs["text"].alias("__text"))
