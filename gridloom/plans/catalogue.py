@@ -1,4 +1,4 @@
-"""Registered queries over the gridded relations, with their DuckDB equivalents."""
+"""All registered queries over the gridded relations, with their DuckDB equivalents."""
 
 from __future__ import annotations
 
@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import grid_queries, ingest_queries, model_queries
+from .registry import ORACLES, QUERIES
+
+MODULES = (ingest_queries, grid_queries, model_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
