@@ -19,22 +19,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, pick, slices, with_text
+from .shared import mix64, pick, ship, slices, with_text, worker_state
 
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, cross_entropy double, margin double, rejected boolean, n_letters long"
 
 
-@functools.cache
 def letter_codes() -> np.ndarray:
     """For each code point its lower-case letter's code point, 0 for anything but a letter (Unicode category L*)."""
-    table = np.zeros(sys.maxunicode + 1, np.uint32)
-    for c in range(sys.maxunicode + 1):
-        ch = chr(c)
-        if unicodedata.category(ch)[0] == "L":
-            low = ch.lower()
-            table[c] = ord(low) if len(low) == 1 else ord(low[0])
-    return table
+    kept = worker_state()
+    if "letters" not in kept:
+        table = np.zeros(sys.maxunicode + 1, np.uint32)
+        for c in range(sys.maxunicode + 1):
+            ch = chr(c)
+            if unicodedata.category(ch)[0] == "L":
+                table[c] = ord(ch.lower()[0])
+        kept["letters"] = table
+    return kept["letters"]
 
 
 def symbols(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +252,7 @@ def fit(docs: DataFrame, trainable, order: int = 5, rows_per_language: int = 150
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) / 1e6
     share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, rows_per_language / v))])
     some = rows.where(draw < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(4)))
-    sample = sorted((r["lang"], r["text"], r["part"]) for r in some.toLocalIterator())
+    sample = sorted((r["lang"], r["text"], r["part"]) for r in some.collect())
     train = [x for x in sample if x[2] != 0] if len(sample) >= 40 else sample
     model = Model(sorted({x[0] for x in train}), order).fit([x[1] for x in train], [x[0] for x in train])
     rest = [x for x in sample if x[2] == 0 and x[0] in model.languages] or train
@@ -264,14 +265,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     Null texts, empty ones and those without a letter give ``und``, score 0 and are rejected. Repeated rows get the
     same result each. Only ``text`` is read for the prediction; extra columns pass only if they are in ``keep``.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    load = ship(docs.sparkSession, model)
     frame = with_text(docs, keep)
     schema = ", ".join(f"`{c}` {t}" for c, t in pick(docs, *keep).dtypes)
 
     def score(batches):
         import pyarrow as pa
 
-        model = sent.value
+        model = load()
         for batch in batches:
             for a, b, raw, offsets in slices(batch.column(batch.num_columns - 1)):
                 found = model.predict(raw, offsets)

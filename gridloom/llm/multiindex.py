@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shards import search, vectors
+from .shared import ship
 
 BITS = 16  # of a substring
 POP = np.array([bin(i).count("1") for i in range(1 << BITS)], dtype=np.uint8)
@@ -58,7 +59,7 @@ def fit(rows: DataFrame, k: int, sample_rows: int = 4096) -> Codes | None:
     """Codes fitted on at most about ``sample_rows`` vectors, drawn by a hash of the id; None without a vector."""
     total = rows.count()
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(1_000_000)) < 1e6 * sample_rows / max(total, 1)).orderBy("vec_id").limit(2 * sample_rows)
-    got = [r["vec"] for r in drawn.select("vec").toLocalIterator()] or [r["vec"] for r in rows.orderBy("vec_id").limit(1).collect()]
+    got = [r["vec"] for r in drawn.select("vec").collect()] or [r["vec"] for r in rows.orderBy("vec_id").limit(1).collect()]
     if not got:
         return None
     width = max(map(len, got))
@@ -113,12 +114,13 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, sample_rows: int =
     """
     rows = vectors(table, False)
     codes = fit(rows, k, sample_rows)
-    sent = rows.sparkSession.sparkContext.broadcast(codes)
+    load = ship(rows.sparkSession, codes)
 
     def group(queries, candidates):
         width = max(queries[1].shape[1], candidates[1].shape[1])
-        index = Index(*candidates, sent.value)
-        asked = sent.value.encode(queries[1])
+        own = load()
+        index = Index(*candidates, own)
+        asked = own.encode(queries[1])
         out = [(i, *index.near(i, q, c, k)) for i, q, c in zip(queries[0].tolist(), queries[1], asked)]
         assert width == index.dense.shape[1]
         return np.concatenate([np.full(len(at), i) for i, at, _ in out]), np.concatenate([candidates[0][at] for _, at, _ in out]), np.concatenate([d for _, _, d in out])

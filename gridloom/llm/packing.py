@@ -17,15 +17,13 @@ from __future__ import annotations
 import itertools
 import json
 import re
-import sys
-import types
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pick, slices, written
+from .shared import pick, slices, worker_state, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -135,7 +133,7 @@ class WordTokenizer:
 
 def worker_tokenizer(path: str) -> WordTokenizer:
     """One per Python worker and path, so that what one task has looked up serves the next."""
-    kept = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker")).__dict__
+    kept = worker_state()
     if path not in kept:
         kept[path] = WordTokenizer(path)
     return kept[path]

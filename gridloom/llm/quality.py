@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, pick, seg_sum, slices, with_text, word_hashes
+from .shared import mix64, pick, seg_sum, ship, slices, with_text, word_hashes
 
 
 class Classifier:
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable, target: str = "quality",
     # 0.9: the draw is by the id's hash, its number varies a little
     share = min(1.0, rows / max(total, 1))
     drawn = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1e6)
-    sample = sorted((r["text"], r["label"]) for r in pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "label").toLocalIterator())
+    sample = sorted((r["text"], r["label"]) for r in pick(docs, "doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("text", "label").collect())
     if not sample:
         raise ValueError("no labelled text to learn from")
     return Classifier(**options).fit([x[0] for x in sample], np.array([x[1] for x in sample]))
@@ -136,14 +136,14 @@ def classify(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
     Null and empty texts have no features and get the score of the bias; repeated rows get equal scores; no column but
     ``text`` counts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model.slim())
+    load = ship(docs.sparkSession, model.slim())
     frame = with_text(docs, keep)
     schema = ", ".join(f"`{c}` {t}" for c, t in pick(docs, *keep).dtypes)
 
     def run(batches):
         import pyarrow as pa
 
-        model = sent.value
+        model = load()
         for batch in batches:
             for a, b, raw, offsets in slices(batch.column(batch.num_columns - 1)):
                 own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +53,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+def ship(spark: SparkSession, value) -> Callable:
+    """A function that gives ``value`` on executors: broadcast once, classes included, so nothing is imported there."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from one task to the next."""
+    return sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker")).__dict__
+
+
 #: Columns of documents that operators read by name.
 NAMED = ("doc_id", "text", "lang", "source")
 

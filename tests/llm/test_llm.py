@@ -110,6 +110,31 @@ def test_keep_one_leaves_one_row_of_each_component(spark, nasty, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar_documents_are_linked_and_others_are_not(spark):
+    rng = random.Random(12)
+    texts, group = [], []
+    for g in range(30):
+        words = sentence(rng, rng.choice([30, 120, 900]), 5000).split()
+        texts.append(" ".join(words))
+        group.append(g)
+        for share in (0.01, 0.02, 0.2):
+            other = list(words)
+            for i in range(len(words)):
+                if rng.random() < share:
+                    other[i] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+            group.append(g)
+    runs = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = lambda i, j, s: len(runs[i] & runs[j]) / len(runs[i] | runs[j]) >= s
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, texts)).collect()}
+    for i in range(len(texts)):
+        before = [j for j in range(i) if group[j] == group[i]]
+        if any(near(i, j, 0.88) for j in before if j in kept):
+            assert i not in kept
+        if not any(near(i, j, 0.7) for j in range(len(texts)) if j != i):
+            assert i in kept
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------------
 
 
