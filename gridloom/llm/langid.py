@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .shared import mix64, pick, ship, slices, with_text, worker_state
 
 UNKNOWN = "und"
+#: Bytes of text that one step of fitting on the driver handles.
+FIT_BYTES = 1 << 19
 RESULT = "lang_pred string, score double, cross_entropy double, margin double, rejected boolean, n_letters long"
 
 
@@ -94,9 +96,9 @@ class Model:
 
         of = {name: i for i, name in enumerate(self.languages)}
         order, L = self.order, len(self.languages)
-        parts = [p for p in slices(pa.array(texts, pa.large_string()))]
+        parts = lambda: slices(pa.array(texts, pa.large_string()), FIT_BYTES)
         seen: dict[int, int] = {}
-        for _, _, raw, offsets in parts:
+        for _, _, raw, offsets in parts():
             u, c = np.unique(symbols(raw, offsets, None)[3], return_counts=True)
             for x, y in zip(u.tolist(), c.tolist()):
                 if x:
@@ -104,15 +106,13 @@ class Model:
         common = sorted(seen, key=lambda x: (-seen[x], x))[:most_letters]
         self.alphabet = np.array(sorted(common), dtype=np.int64)
         V = len(self.alphabet) + 2
-        counted = [dict() for _ in range(L)]
         gathered: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(L)]
-        for a, b, raw, offsets in parts:
+        for a, b, raw, offsets in parts():
             code, starts, _, _ = symbols(raw, offsets, self.alphabet)
             top = grams(code, starts, order)
             lang = np.repeat(np.array([of[x] for x in langs[a:b]]), np.diff(starts))
             for k in range(L):
                 gathered[k].append(np.unique(top[lang == k], return_counts=True))
-        del counted
         # counts of the highest order, then continuation counts: distinct symbols to the left of each lower n-gram
         tables = []  # per language, per order 1..order: (sorted n-grams, counts)
         for k in range(L):
@@ -205,7 +205,7 @@ class Model:
 
         self.mean, self.spread = np.zeros(len(self.languages)), np.ones(len(self.languages))
         ce, n, own = [], [], []
-        for a, b, raw, offsets in slices(pa.array(texts, pa.large_string())):
+        for a, b, raw, offsets in slices(pa.array(texts, pa.large_string()), FIT_BYTES):
             e, _, m = self.entropies(raw, offsets)
             ce.append(e), n.append(m), own.extend(langs[a:b])
         ce, n, own = np.concatenate(ce), np.concatenate(n), np.array([self.languages.index(x) for x in own])
@@ -238,7 +238,7 @@ class Model:
         return {"lang_pred": names[np.where(none, len(names) - 1, best)], "score": score, "cross_entropy": np.where(none, np.nan, low), "margin": np.where(none, np.nan, margin), "rejected": none | (z > self.limit), "n_letters": letters}
 
 
-def fit(docs: DataFrame, trainable, order: int = 5, rows_per_language: int = 1500, seed: int = 7) -> Model:
+def fit(docs: DataFrame, trainable, order: int = 5, rows_per_language: int = 1000, seed: int = 7) -> Model:
     """A model fitted on at most about ``rows_per_language`` whole labelled texts of each language.
 
     ``trainable``: a condition on rows of ``docs``. The bounded sample is drawn by a hash of the text, so it is the same
