@@ -23,6 +23,11 @@ def r2(p: Column, y: Column) -> Column:
     return 1 - F.try_divide(F.sum((y - p) * (y - p)), F.count(both) * F.var_pop(both))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation, NULL where either side is constant (the built-in one fails there)."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 #: Measures by name, (prediction, truth) to an aggregate column.
 METRICS = {"bias": bias, "mae": mae, "rmse": rmse, "r2": r2}
 

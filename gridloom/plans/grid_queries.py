@@ -100,13 +100,10 @@ def multi_scale_rollup(spark, d):
     return out
 
 
-@query(sql("SELECT y, x, " + r6("avg(value)", "value") + " FROM (SELECT 2 * (y - py) + dy AS y, 2 * (x - px) + dx AS x, sum(v * w) AS value, count(*) AS n FROM (SELECT y, x, pred AS v FROM grid WHERE pred IS NOT NULL), k GROUP BY 1, 2 HAVING count(*) = 4) GROUP BY y, x",
-    k="SELECT a.d AS dy, b.d AS dx, a.p AS py, b.p AS px, a.w * b.w AS w FROM one a, one b", one="SELECT * FROM (VALUES (0, 0, 0.75::DOUBLE), (0, -1, 0.25::DOUBLE), (1, 0, 0.75::DOUBLE), (1, 1, 0.25::DOUBLE)) t(d, p, w)").replace("WITH cells", "WITH cells").replace("k AS (SELECT a.d", "k AS (SELECT a.d"))
+@query(sql("SELECT y, x, round(avg(value), 9) + 0.0::DOUBLE AS value FROM (SELECT 2 * (y - py) + dy AS y, 2 * (x - px) + dx AS x, sum(v * w) AS value, count(*) AS n FROM (SELECT y, x, pred AS v FROM grid WHERE pred IS NOT NULL), k GROUP BY 1, 2 HAVING count(*) = 4) GROUP BY y, x",
+    k="SELECT a.d AS dy, b.d AS dx, a.p AS py, b.p AS px, a.w * b.w AS w FROM one a, one b", one="SELECT * FROM (VALUES (0, 0, 0.75::DOUBLE), (0, -1, 0.25::DOUBLE), (1, 0, 0.75::DOUBLE), (1, 1, 0.25::DOUBLE)) t(d, p, w)"))
 def bilinear_resample(spark, d):
-    return grids.bilinear_double(views.grid(spark, d), "pred").select("y", "x", *r("value"))
-
-
-_sp = "SELECT unnest(range(200)) AS i"
+    return grids.bilinear_double(views.grid(spark, d), "pred").select("y", "x", rounded("value", 9).alias("value"))  # sixteenths end in a 5 at the seventh digit
 
 
 @query(sql("SELECT ty AS y, tx AS x, " + r6("sum(pred * wy * wx) / sum(wy * wx)", "value") + ", " + r6("sum(wy * wx)", "area") + " FROM grid JOIN ov a ON a.s = grid.y JOIN (SELECT s, t AS tx, w AS wx FROM ov) b ON b.s = grid.x, LATERAL (SELECT a.t AS ty, a.w AS wy) WHERE pred IS NOT NULL GROUP BY 1, 2",
@@ -238,12 +235,12 @@ def sign_agreement_curve(spark, d):
 _edges = ", ".join(str(i / 10) for i in range(11))
 
 
-@query(sql("SELECT bin, count(*) AS n, " + r6("median(pred)", "median") + ", " + r6("avg(pred - lidar)", "bias") + ", " + r6("corr(pred, lidar)", "pearson") + " FROM (SELECT v.*, (SELECT count(*) FROM (SELECT DISTINCT unnest(e) AS q FROM ed) WHERE q <= v.lidar)::INTEGER AS bin FROM valid v) GROUP BY bin HAVING count(*) >= 30", ed=f"SELECT quantile_cont(lidar, [{_edges}]) AS e FROM valid"))
+@query(sql("SELECT bin, count(*) AS n, " + r6("median(pred)", "median") + ", " + r6("avg(pred - lidar)", "bias") + ", " + r6("covar_pop(pred, lidar) / nullif(stddev_pop(pred) * stddev_pop(lidar), 0)", "pearson") + " FROM (SELECT v.*, (SELECT count(*) FROM (SELECT DISTINCT unnest(e) AS q FROM ed) WHERE q <= v.lidar)::INTEGER AS bin FROM valid v) GROUP BY bin HAVING count(*) >= 30", ed=f"SELECT quantile_cont(lidar, [{_edges}]) AS e FROM valid"))
 def binned_response_curve(spark, d):
     v = valid(spark, d)
     ed = v.agg(F.array_distinct(F.percentile("lidar", F.array(*[F.lit(i / 10) for i in range(11)]))).alias("e"))
     b = v.join(F.broadcast(ed)).withColumn("bin", F.size(F.filter("e", lambda q: q <= c("lidar"))))
-    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.median("pred")).alias("median"), rounded(metrics.bias(c("pred"), c("lidar"))).alias("bias"), rounded(F.corr("pred", "lidar")).alias("pearson")).where("n >= 30")
+    return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), rounded(F.median("pred")).alias("median"), rounded(metrics.bias(c("pred"), c("lidar"))).alias("bias"), rounded(metrics.pearson(c("pred"), c("lidar"))).alias("pearson")).where("n >= 30")
 
 
 # ---- change --------------------------------------------------------------------------------------------------------
@@ -370,11 +367,11 @@ _pairs = "SELECT a.y, a.x, angle, a.g AS i, b.g AS j FROM full_win a, ang JOIN f
 _TEX = {"contrast": "sum((i - j) * (i - j) * p)", "dissimilarity": "sum(abs(i - j) * p)", "homogeneity": "sum(p / (1 + (i - j) * (i - j)))", "energy": "sum(p * p)", "entropy": "-sum(p * log2(p))", "variance": "sum(i * i * p) - sum(i * p) * sum(i * p)"}
 
 
-@query(sql("SELECT y, x, " + ", ".join(r6(f"avg({k})", k) for k in _TEX) + " FROM per GROUP BY y, x", off=_sq(1), lv=_lv, win=_win, ang=_ang, full_win="SELECT * FROM win WHERE (y, x) IN (SELECT (y, x) FROM win GROUP BY y, x HAVING count(*) = 9)", pairs=_pairs, both="SELECT y, x, angle, i, j FROM pairs UNION ALL SELECT y, x, angle, j, i FROM pairs", prob="SELECT y, x, angle, i, j, count(*) / CASE WHEN angle % 2 = 0 THEN 12.0::DOUBLE ELSE 8.0::DOUBLE END AS p FROM both GROUP BY ALL", per="SELECT y, x, angle, " + ", ".join(f"{e} AS {k}" for k, e in _TEX.items()) + " FROM prob GROUP BY y, x, angle"))
+@query(sql("SELECT y, x, " + ", ".join(f"round(avg({k}), 9) + 0.0::DOUBLE AS {k}" for k in _TEX) + " FROM per GROUP BY y, x", off=_sq(1), lv=_lv, win=_win, ang=_ang, full_win="SELECT * FROM win WHERE (y, x) IN (SELECT (y, x) FROM win GROUP BY y, x HAVING count(*) = 9)", pairs=_pairs, sym="SELECT y, x, angle, i, j FROM pairs UNION ALL SELECT y, x, angle, j, i FROM pairs", prob="SELECT y, x, angle, i, j, count(*) / CASE WHEN angle % 2 = 0 THEN 12.0::DOUBLE ELSE 8.0::DOUBLE END AS p FROM sym GROUP BY y, x, angle, i, j", per="SELECT y, x, angle, " + ", ".join(f"{e} AS {k}" for k, e in _TEX.items()) + " FROM prob GROUP BY y, x, angle"))
 def glcm_texture(spark, d):
     g = views.grid(spark, d).where("pred IS NOT NULL").select("y", "x", S.quantise(c("pred"), 0.0, 80.0, 8).alias("level"))
     t = grids.texture(g, "level", N, N)
-    return t.select("y", "x", *r(*t.columns[2:]))
+    return t.select("y", "x", *[rounded(x, 9).alias(x) for x in t.columns[2:]])
 
 
 @query(sql("SELECT ty AS y, tx AS x, count(*) AS n, count_if(y // 25 <> ty OR x // 25 <> tx)::BIGINT AS halo FROM grid, (SELECT unnest(range(4))::INTEGER AS ty), (SELECT unnest(range(4))::INTEGER AS tx) WHERE y >= ty * 25 - 1 AND y < ty * 25 + 26 AND x >= tx * 25 - 1 AND x < tx * 25 + 26 GROUP BY ty, tx"))
@@ -485,7 +482,7 @@ def block_broadcast_join(spark, d):
     return g.where("lidar IS NOT NULL").join(blocks, ["br", "bc"]).select("y", "x", *r("lidar"), "label")
 
 
-@query(sql("SELECT g.y, g.x, " + r6("g.pred", "pred") + ", " + r6("b.p", "coarse") + " FROM valid g JOIN (SELECT y // 4 AS by, x // 4 AS bx, avg(pred) AS p FROM valid GROUP BY 1, 2) b ON g.y // 4 = by AND g.x // 4 = bx"))
+@query(sql("SELECT g.y, g.x, " + r6("g.pred", "pred") + ", " + r6("b.p", "coarse") + " FROM valid g JOIN (SELECT y // 4 AS k1, x // 4 AS k2, avg(pred) AS p FROM valid GROUP BY 1, 2) b ON g.y // 4 = k1 AND g.x // 4 = k2"))
 def cell_attribute_joins(spark, d):
     v = valid(spark, d).withColumns({"by": grids.block("y", 4), "bx": grids.block("x", 4)})
     coarse = v.groupBy("by", "bx").agg(F.avg("pred").alias("coarse"))

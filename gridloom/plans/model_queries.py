@@ -66,7 +66,7 @@ def stratified_block_sample(spark, d):
 
 @query(sql("SELECT feature_set, thr, count(*) AS n, " + r6("avg((sign(y_pred - 40) = sign(lidar - 40))::INTEGER)", "correct") + " FROM preds, (SELECT unnest(range(0, 60, 5)) AS thr) WHERE abs(y_pred - 40) > thr GROUP BY feature_set, thr HAVING count(*) >= 10"))
 def threshold_sweep(spark, d):
-    p = views.predictions(spark, d).withColumn("thr", F.explode(F.sequence(F.lit(0), F.lit(55), F.lit(5))).cast("long")).where(F.abs(c("y_pred") - 40) > c("thr"))
+    p = views.predictions(spark, d).withColumn("thr", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(55).cast("long"), F.lit(5).cast("long")))).where(F.abs(c("y_pred") - 40) > c("thr"))
     return p.groupBy("feature_set", "thr").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg((F.signum(c("y_pred") - 40) == F.signum(c("lidar") - 40)).cast("int"))).alias("correct")).where("n >= 10")
 
 
