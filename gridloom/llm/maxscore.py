@@ -1,10 +1,11 @@
 """Exact top-k inner products by MaxScore.
 
-A vector of integers is a document, a (component, sign) is a term, and the postings of a term list the documents whose
-component has that sign with its size. A query's terms have bounds, its component times the largest size in the
-postings. Terms whose bounds together stay below the k-th best score so far are non-essential: a document that is in no
-essential posting cannot reach the result. Essential postings are traversed, the rest is probed only for documents that
-are still competitive, and opposite signs, which only lower a score, are settled for those that are left.
+A component is a term and its postings are the documents where it is not zero; since vectors are dense, a shard keeps
+its postings as rows of a matrix. A term's bound for a query is the largest product in the postings (0 if none is
+positive). Terms whose bounds together stay below the k-th best score so far are non-essential: a document that is in
+no essential posting cannot reach the result. Essential postings are traversed for all queries of a block at once,
+as a product with the queries' essential terms; the other terms are probed one by one, largest bound first, only for
+documents that are still competitive.
 """
 
 from __future__ import annotations
@@ -21,60 +22,55 @@ def quantise(rows: DataFrame, scale: float = 256.0) -> DataFrame:
     return rows.select("vec_id", F.transform("vec", lambda x: F.floor(F.lit(scale) * x).cast("double")).alias("vec"))
 
 
-class Postings:
-    """Postings of a shard in blocks of documents, by component and sign."""
+def best_products(asked: tuple[np.ndarray, np.ndarray], held: tuple[np.ndarray, np.ndarray], k: int, first: int = 64, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, candidate id, score) of each query's k best in a shard; ids are in order, vectors whole numbers.
 
-    def __init__(self, ids: np.ndarray, dense: np.ndarray, block: int = 1024):
-        self.ids, self.dense = ids, dense.astype(np.int64)
-        self.blocks = []
-        for a in range(0, len(ids), block):
-            part = self.dense[a : a + block]
-            lists, most = {}, np.zeros((2, part.shape[1]), np.int64)
-            for sign in (0, 1):
-                held = part > 0 if sign == 0 else part < 0
-                most[sign] = np.where(held, np.abs(part), 0).max(axis=0, initial=0)
-                for d in range(part.shape[1]):
-                    at = np.flatnonzero(held[:, d])
-                    lists[sign, d] = at, np.abs(part[at, d])
-            self.blocks.append((a, len(part), lists, most))
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best by score, then id; places are in id order."""
-        q = query.astype(np.int64)
-        terms = np.flatnonzero(q)
-        sign = (q < 0).astype(int)
-        best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for a, n, lists, most in self.blocks:
-            floor = best[-1] if len(best) == k else None
-            bounds = np.abs(q[terms]) * most[sign[terms], terms]
-            order = np.argsort(bounds, kind="stable")
-            below = np.cumsum(bounds[order])
-            spare = 0 if floor is None else int(np.searchsorted(below, floor, side="left"))  # sums below the floor
-            essential, others = order[spare:], order[:spare]
-            score = np.zeros(n, np.int64)
-            seen = np.zeros(n, bool) if floor is not None and floor > 0 else np.ones(n, bool)
-            for i in essential:
-                d = terms[i]
-                at, size = lists[sign[d], d]
-                score[at] += np.abs(q[d]) * size
-                seen[at] = True
-            live = np.flatnonzero(seen)
-            for j in range(len(others) - 1, -1, -1):  # largest bounds first, while competitive
-                live = live[score[live] + below[j] >= floor]
-                if not len(live):
-                    break
-                d = terms[others[j]]
-                part = self.dense[a + live, d] * q[d]
-                score[live] += np.maximum(part, 0)
-            if floor is not None:
-                live = live[score[live] >= floor]
-            live = live[self.ids[a + live] != query_id]
-            exact = self.dense[a + live] @ q
-            best_at = np.concatenate([best_at, a + live])
-            best = np.concatenate([best, exact])
-            keep = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[keep], best[keep]
-        return best_at, best
+    Products of whole numbers are exact in double precision up to 2^53.
+    """
+    (ids, q), (docs, v) = asked, held
+    rows = np.arange(len(ids))
+    floor = np.full(len(ids), -np.inf)
+    best = np.full((len(ids), k), -np.inf)
+    found = []
+    for a, b in zip([0, *range(first, len(docs), step)], [*range(first, len(docs), step), len(docs)]):
+        part = v[a:b]
+        bounds = np.maximum(np.maximum(q * part.max(axis=0), q * part.min(axis=0)), 0.0)
+        order = np.argsort(bounds, axis=1, kind="stable")
+        below = np.cumsum(np.take_along_axis(bounds, order, 1), axis=1)
+        spare = (below < floor[:, None]).sum(axis=1)  # non-essential terms: the first of the order
+        essential = np.zeros(q.shape)
+        np.put_along_axis(essential, order, np.where(np.arange(q.shape[1]) >= spare[:, None], np.take_along_axis(q, order, 1), 0.0), 1)
+        score = essential @ part.T
+        rest = np.where(spare > 0, below[rows, np.maximum(spare - 1, 0)], 0.0)
+        i, j = np.nonzero(score + rest[:, None] >= floor[:, None])
+        own = docs[a + j] != ids[i]
+        i, j = i[own], j[own]
+        s, left = score[i, j], spare[i]
+        done = []
+        while len(i):
+            end = left == 0
+            done.append((i[end], j[end], s[end]))
+            i, j, s, left = i[~end], j[~end], s[~end], left[~end] - 1
+            term = order[i, left]
+            s = s + q[i, term] * part[j, term]
+            live = s + np.where(left > 0, below[i, np.maximum(left - 1, 0)], 0.0) >= floor[i]
+            i, j, s, left = i[live], j[live], s[live], left[live]
+        if not done:
+            continue
+        i, j, s = (np.concatenate(x) for x in zip(*done))
+        found.append((i, a + j, s))
+        wide = np.full((len(ids), b - a + k), -np.inf)
+        wide[:, :k] = best
+        wide[i, k + j] = s
+        best = -np.partition(-wide, k - 1, axis=1)[:, :k]
+        floor = best.min(axis=1)
+    i, j, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    keep = s >= floor[i]
+    i, j, s = i[keep], j[keep], s[keep]
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+    return ids[i[rank < k]], docs[j[rank < k]], s[rank < k].astype(np.int64)
 
 
 def top_products(table: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -86,8 +82,6 @@ def top_products(table: DataFrame, is_query: Column, k: int = 5, scale: float =
     """
 
     def group(queries, candidates):
-        postings = Postings(*candidates)
-        out = [(i, *postings.top(i, q, k)) for i, q in zip(queries[0].tolist(), queries[1])]
-        return np.concatenate([np.full(len(at), i) for i, at, _ in out]), np.concatenate([candidates[0][at] for _, at, _ in out]), np.concatenate([s for _, _, s in out])
+        return best_products(queries, candidates, k)
 
     return search(quantise(vectors(table, True), scale), is_query, group, k, False, "long")
