@@ -93,17 +93,47 @@ class Index:
         at = np.flatnonzero(seen)
         return at[self.codes.distances(self.code[at], code) <= radius]
 
-    def near(self, query_id: int, query: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        radius = self.codes.radius
-        while True:
-            at = self.probe(code, radius)
-            at = at[self.ids[at] != query_id]
-            if len(at) >= k or radius >= self.codes.m * BITS:
-                break
-            radius += 2 * self.codes.m  # fewer than k in this shard: reach further
-        d = np.sqrt(((self.dense[at] - query) ** 2).sum(axis=1))
-        keep = np.lexsort((at, d))[:k]
-        return at[keep], d[keep]
+    def probe_many(self, asked: np.ndarray, radius: int) -> np.ndarray:
+        """Queries x places: whether a code lies within ``radius`` bits, found by way of the substrings' buckets."""
+        m = self.codes.m
+        seen = np.zeros((len(asked), len(self.ids)), bool)
+        for j, (values, starts, order) in enumerate(self.tables):
+            reach = radius // m - (j > radius % m)
+            if reach >= 0:
+                bucket = np.empty(len(order), np.int64)
+                bucket[order] = np.repeat(np.arange(len(values)), np.diff(starts))
+                seen |= (POP[values[None, :] ^ asked[:, j, None]] <= reach)[:, bucket]
+        i, j = np.nonzero(seen)
+        seen[i, j] = self.codes.distances(self.code[j], asked[i]) <= radius
+        return seen
+
+    def near(self, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance) of the ``k`` nearest codes found for each query; ties to the smaller id.
+
+        A product of matrices tells which of the codes found can be among the k; those get their exact distances.
+        """
+        out = []
+        squares = (self.dense**2).sum(axis=1)
+        for a in range(0, len(ids), step):
+            own, q, code = ids[a : a + step], queries[a : a + step], asked[a : a + step]
+            found = self.probe_many(code, self.codes.radius) & (self.ids[None, :] != own[:, None])
+            for i in np.flatnonzero(found.sum(axis=1) < k):  # fewer than k in this shard: reach further
+                radius = self.codes.radius
+                while found[i].sum() < k and radius < self.codes.m * BITS:
+                    radius += 2 * self.codes.m
+                    found[i, self.probe(code[i], radius)] = True
+                    found[i] &= self.ids != own[i]
+            rough = np.where(found, (q**2).sum(axis=1)[:, None] + squares[None, :] - 2 * (q @ self.dense.T), np.inf)
+            n = min(k, rough.shape[1])
+            last = np.partition(rough, n - 1, axis=1)[:, n - 1]
+            margin = 1e-9 * ((q**2).sum(axis=1) + squares.max(initial=0.0) + 1)
+            i, j = np.nonzero(found & (rough <= np.where(np.isfinite(last), last + margin, np.inf)[:, None]))
+            d = np.sqrt(((self.dense[j] - q[i]) ** 2).sum(axis=1))
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+            out.append((own[i[keep]], j[keep], d[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 10, sample_rows: int = 4096) -> DataFrame:
@@ -120,9 +150,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, sample_rows: int =
         width = max(queries[1].shape[1], candidates[1].shape[1])
         own = load()
         index = Index(*candidates, own)
-        asked = own.encode(queries[1])
-        out = [(i, *index.near(i, q, c, k)) for i, q, c in zip(queries[0].tolist(), queries[1], asked)]
-        assert width == index.dense.shape[1]
-        return np.concatenate([np.full(len(at), i) for i, at, _ in out]), np.concatenate([candidates[0][at] for _, at, _ in out]), np.concatenate([d for _, _, d in out])
+        query, place, distance = index.near(*queries, own.encode(queries[1]), k)
+        return query, candidates[0][place], distance
 
     return search(rows, is_query, group, k, True, "double")
