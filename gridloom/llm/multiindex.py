@@ -147,7 +147,6 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, sample_rows: int =
     load = ship(rows.sparkSession, codes)
 
     def group(queries, candidates):
-        width = max(queries[1].shape[1], candidates[1].shape[1])
         own = load()
         index = Index(*candidates, own)
         query, place, distance = index.near(*queries, own.encode(queries[1]), k)
