@@ -474,8 +474,14 @@ def test_edit_distance_and_chains_against_plain_forms():
         d, a = np.sort(rng.integers(0, 200, n)), rng.integers(0, 200, n)
         parts = np.stack([d, d + 8 + rng.integers(0, 20, n), a, a], 1)
         parts[:, 3] = parts[:, 2] + parts[:, 1] - parts[:, 0]
-        spans = chaining.chains(parts, 8, 0.5, 10**6)
-        assert len(spans) >= 1 and best(parts, 8, 0.5) >= (parts[:, 1] - parts[:, 0]).max()
+        found = chaining.chains(parts, 8, 0.5, 10**6)
+        assert sum(map(len, found)) == n  # every fragment is in one chain
+        first = found[0]
+        worth = [int(p[1] - p[0]) for p in first]
+        for i in range(1, len(first)):
+            (p0, p1, q0, q1), (d0, _, a0, _) = first[i - 1], first[i]
+            worth[i] += worth[i - 1] - 0.5 * (d0 - max(p1 - 7, p0 + 1) + a0 - max(q1 - 7, q0 + 1))
+        assert worth[-1] == pytest.approx(best(parts, 8, 0.5))
 
 
 def test_word_hashes_follow_words():
