@@ -77,7 +77,7 @@ class WordTokenizer:
     PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     PLAIN = re.compile("[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 
-    def __init__(self, path: str, keep: int = 350_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -152,7 +152,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 
         words = worker_tokenizer(tokenizer)
         for batch in batches:
-            for a, b, _, _ in slices(batch.column(1)):
+            for a, b, _, _ in slices(batch.column(1), 2 << 20):
                 ids, starts = words.encode_many(batch.column(1).slice(a, b - a), end_id)
                 lengths = np.diff(starts)
                 n = -(-lengths // capacity)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: White space of the word contract, U+0020 and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; bounds a worker's memory whatever the Arrow batch holds.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
