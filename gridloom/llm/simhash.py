@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 3, seed: int
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, distance: int = 3, seed: int = 42, similarity: float | None = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, distance: int = 3, seed: int = 42, similarity: float | None = 0.8, most_sent: int = 500_000) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id's (null last), one row of several equal ones.
 
     Fingerprints within 3 bits stand for far more than a Jaccard similarity of 0.8; with ``similarity`` set, documents
@@ -234,6 +234,9 @@ def keep_one(docs: DataFrame, size: int = 5, distance: int = 3, seed: int = 42,
     roots = written(classes(prints, distance, None if similarity is None else similar(rows, similarity)), "roots")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
-    chosen = written(best.select("best.row"), "chosen")
-    out = rows.join(chosen, "row", "left_semi")
+    kept = written(roots.join(best, "root").select("fp", F.col("best.row").alias("kept")), "kept")
+    gone = written(prints.join(kept, "fp").where("row <> kept").select("row"), "gone")
+    # the rows that go are few: counted, up to a bound they are sent to the texts, beyond it the texts meet them by row
+    few = gone.limit(most_sent + 1).count() <= most_sent
+    out = rows.join(F.broadcast(gone) if few else gone, "row", "left_anti")
     return out.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(columns)])
