@@ -442,6 +442,19 @@ def test_fuzzy_passages_are_found_and_clean_documents_are_not(spark, nasty, empt
     assert chaining.repeated_passages(nasty).collect() == [] and chaining.repeated_passages(empty).count() == 0
 
 
+def test_passages_at_the_declared_similarity_are_found(spark):
+    rng = random.Random(21)
+    own = lambda n: sentence(rng, n, 100000).split()
+    texts = []
+    for n in [60] * 20 + [120] * 10:  # every fifth word another one: no run of 5 words is shared
+        passage = own(n)
+        edited = [f"n{rng.randrange(10**6)}" if i % 5 == 2 else w for i, w in enumerate(passage)]
+        texts += [" ".join(own(80) + passage + own(60)), " ".join(own(50) + edited + own(90))]
+    rows = chaining.repeated_passages(docs_of(spark, texts)).collect()
+    assert all(r["doc_id"] - 1 == r["ref_doc_id"] and r["doc_id"] % 2 for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= 27
+
+
 def test_edit_distance_and_chains_against_plain_forms():
     rng = np.random.default_rng(11)
 
