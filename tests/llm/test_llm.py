@@ -455,6 +455,17 @@ def test_passages_at_the_declared_similarity_are_found(spark):
     assert len({r["doc_id"] for r in rows}) >= 27
 
 
+def test_passages_of_one_to_three_words_over_and_over_are_found(spark):
+    rng = random.Random(22)
+    own = lambda n: sentence(rng, n, 100000)
+    for period in (["go"], ["buy", "now"], ["a", "b", "c"]):
+        turned = period[1:] + period[:1]
+        texts = [own(40) + " " + " ".join(period * 90) + " " + own(50), own(70) + " " + " ".join(period * 90) + " " + own(30), own(20) + " " + " ".join(turned * 60) + " " + own(60), own(200)]
+        rows = chaining.repeated_passages(docs_of(spark, texts)).collect()
+        assert {(r["doc_id"], r["ref_doc_id"]) for r in rows} == {(1, 0), (2, 0)}
+        assert max(r["n_words"] for r in rows if r["doc_id"] == 1) >= 85 * len(period)
+
+
 def test_edit_distance_and_chains_against_plain_forms():
     rng = np.random.default_rng(11)
 
