@@ -122,28 +122,88 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
     return frame.mapInArrow(run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
 
 
-def similar(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of fingerprints of rows (row, fp, sketch, bands; written) whose sketches are that similar.
+def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, first, guess) of pairs (row, first): the share of equal minima among bins that either sketch has."""
+    mine = pairs.join(rows.select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(rows.select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
 
-    Rows that share a key are joined to the key's first row, never with each other. The share of equal minima among
-    bins that either has estimates the Jaccard similarity of the shingles with a standard error of about 0.025 at 0.8.
-    """
-    keyed = rows.where("bands[0] <> 0").select("row", F.explode("bands").alias("key"))
-    first = written(keyed.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "first-rows")
-    pairs = written(keyed.join(first, "key").where("row <> first").select("row", "first").distinct(), "row-pairs")
-    mine = pairs.join(rows.select("row", F.col("fp").alias("a"), F.col("sketch").alias("x")), "row").select("first", "a", "x")
-    both = mine.join(rows.select(F.col("row").alias("first"), F.col("fp").alias("b"), F.col("sketch").alias("y")), "first").where("a <> b").select("a", "b", "x", "y")
-
-    def verify(batches):
+    def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in (2, 3))
             held = (x != 65535) | (y != 65535)
-            keep = ((x == y) & held).sum(axis=1) >= similarity * held.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            guess = ((x == y) & held).sum(axis=1) / np.maximum(held.sum(axis=1), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], names=["row", "first", "guess"])
+
+    return both.mapInArrow(run, "row long, first long, guess double")
+
+
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
+    """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
+    mine = pairs.select("row", "first").join(rows.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(rows.select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
+
+    def run(batches):
+        import pyarrow as pa
 
-    return both.mapInArrow(verify, "a long, b long")
+        for batch in batches:
+            keep, last, theirs = [], None, set()
+            for i in range(batch.num_rows):
+                other = batch.column(1)[i].as_py()
+                if other != last:
+                    last, theirs = other, set(shingle_hashes((batch.column(3)[i].as_py() or "").encode(), size, seed))
+                own = set(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
+                shared = len(own & theirs)
+                keep.append(shared >= similarity * (len(own) + len(theirs) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["row", "first"])
+
+    return both.mapInArrow(run, "row long, first long")
+
+
+def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, most_rounds: int = 8) -> DataFrame:
+    """Pairs (a, b) of fingerprints of rows (row, fp, text, sketch, bands; written) that are that similar.
+
+    They connect every two rows that share a key and have that Jaccard similarity of their shingles. Sketches (standard
+    error about 0.025) only rule out pairs that are ``slack`` below; the others are decided on the texts. In each round
+    the rows of a key are compared with its first row. Those like it are connected by that; the others are grouped anew
+    under the key in the next round. What is like the first row is compared with what is not where the distances to the
+    first row leave room for it (Jaccard distance is a metric). What is left after the rounds is compared pair by pair.
+    """
+    group = rows.where("bands[0] <> 0").select("row", F.explode("bands").alias("key")).distinct()
+    found = []
+
+    def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        guessed = written(estimates(pairs, rows), "guesses")
+        found.append(written(alike(guessed.where(F.col("guess") >= similarity - slack), rows, similarity, size, seed), "alike"))
+        return guessed, found[-1]
+
+    for _ in range(most_rounds):
+        first = written(group.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "first-rows")
+        tagged = written(group.join(first, "key").where("row <> first"), "tagged")
+        if tagged.isEmpty():
+            break
+        guessed, same = judged(tagged.select("row", "first").distinct())
+        known = guessed.join(same.withColumn("same", F.lit(True)), ["row", "first"], "left")
+        told = written(tagged.join(known, ["row", "first"]).select("key", "row", "guess", F.coalesce("same", F.lit(False)).alias("same")), "told")
+        rest = told.where("NOT same")
+        near = rest.where(F.col("guess") >= 2 * similarity - 1 - slack).select("key", F.col("row").alias("first"), F.col("guess").alias("far"))
+        across = told.where("same").join(near, "key").where(F.col("guess") <= F.col("far") + (1 - similarity + slack))
+        across = written(across.select("row", "first").distinct(), "across")
+        if not across.isEmpty():
+            judged(across)
+        group = rest.select("row", "key")
+    else:
+        other = group.select("key", F.col("row").alias("first"))
+        judged(written(group.join(other, "key").where("row > first").select("row", "first").distinct(), "left-pairs"))
+    prints = rows.select("row", F.col("fp").alias("a"))
+    if not found:
+        return prints.limit(0).select("a", F.col("a").alias("b"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    both = pairs.distinct().join(prints, "row").join(prints.select(F.col("row").alias("first"), F.col("a").alias("b")), "first")
+    return both.where("a <> b").select("a", "b")
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -223,7 +283,7 @@ def keep_one(docs: DataFrame, size: int = 5, distance: int = 3, seed: int = 42,
     """``docs`` with one document of each component: the smallest doc_id's (null last), one row of several equal ones.
 
     Fingerprints within 3 bits stand for far more than a Jaccard similarity of 0.8; with ``similarity`` set, documents
-    of that similarity are linked as well, by sketches of the same shingles. All columns of ``docs`` are kept.
+    of that similarity (the exact one of their sets of shingles) are linked as well. All columns of ``docs`` are kept.
     """
     columns = docs.columns
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], docs["doc_id"], docs["text"], F.monotonically_increasing_id().alias("row"))
@@ -231,7 +291,7 @@ def keep_one(docs: DataFrame, size: int = 5, distance: int = 3, seed: int = 42,
     names = [f"c{i}" for i in range(len(columns)) if columns[i] != "text"]
     rows = written(fingerprints(marked, ["row", "doc_id", *names, "text"], size, seed, similarity is not None), "numbered")
     prints = rows.select("row", "doc_id", "fp")
-    roots = written(classes(prints, distance, None if similarity is None else similar(rows, similarity)), "roots")
+    roots = written(classes(prints, distance, None if similarity is None else similar(rows, similarity, size, seed)), "roots")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
     kept = written(roots.join(best, "root").select("fp", F.col("best.row").alias("kept")), "kept")

@@ -135,6 +135,41 @@ def test_similar_documents_are_linked_and_others_are_not(spark):
             assert i in kept
 
 
+def shifted(words, i, n, tag):
+    """``words`` with ``n`` words from ``i`` on replaced: n + 4 of the five-word runs are others."""
+    return words[:i] + [f"{tag}{j}" for j in range(n)] + words[i + n :]
+
+
+def test_similar_pairs_behind_a_dissimilar_first_document_are_linked(spark):
+    rng = random.Random(31)
+    # texts of 20 passages in two forms each, so a text shares keys with many others that are not like it; then copies
+    forms = [[sentence(rng, 20, 100000).split() for _ in range(2)] for _ in range(20)]
+    family = [[w for f in forms for w in f[rng.random() < 0.25]] for _ in range(200)]
+    texts = family + [shifted(w, 200, 1, f"c{m}x") for m, w in enumerate(family)]
+    runs = [{hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for i in root[:]:
+        for j in range(i):
+            if len(runs[i] & runs[j]) >= 0.8 * len(runs[i] | runs[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [" ".join(t) for t in texts]), distance=0).collect()}
+    assert kept == set(root)
+
+
+def test_exactly_the_declared_similarity_decides(spark):
+    rng = random.Random(32)
+    texts, near = [], []
+    for g in range(60):  # of 396 runs n + 4 are others: just on either side of (396 - x) / (396 + x) = 0.8, x = 44
+        words = sentence(rng, 400, 100000).split()
+        n = 40 if g % 2 else 41
+        texts += [words, shifted(words, 100, n, f"g{g}x")]
+        if g % 2:
+            near.append(2 * g + 1)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    assert kept == set(range(len(texts))) - set(near)
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------------
 
 
