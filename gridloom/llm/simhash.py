@@ -122,10 +122,17 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
     return frame.mapInArrow(run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
 
 
+def only(rows: DataFrame, pairs: DataFrame, column: str, most_sent: int = 500_000) -> DataFrame:
+    """``rows`` that ``pairs`` name in ``column``. Up to a bound the names are sent to the rows, so no others are shuffled."""
+    names = pairs.select(F.col(column).alias("row")).distinct()
+    few = names.limit(most_sent + 1).count() <= most_sent
+    return rows.join(F.broadcast(names), "row", "left_semi") if few else rows
+
+
 def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, first, guess) of pairs (row, first): the share of equal minima among bins that either sketch has."""
-    mine = pairs.join(rows.select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
-    both = mine.join(rows.select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
+    mine = pairs.join(only(rows, pairs, "row").select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(only(rows, pairs, "first").select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
 
     def run(batches):
         import pyarrow as pa
@@ -141,8 +148,8 @@ def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
     """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
-    mine = pairs.select("row", "first").join(rows.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
-    both = mine.join(rows.select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
+    mine = pairs.select("row", "first").join(only(rows, pairs, "row").select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(only(rows, pairs, "first").select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
 
     def run(batches):
         import pyarrow as pa
