@@ -15,6 +15,7 @@ from .relations import r6, sql
 
 c = F.col
 REPS = 20
+FOLDS = 5
 
 
 def r(*cols):
@@ -258,7 +259,7 @@ def scan_roundtrip(spark, d):
 
 def samples(spark, d):
     g = views.grid(spark, d).where("lidar IS NOT NULL AND pred IS NOT NULL")
-    folds = sampling.fold_blocks(usable(spark, d))
+    folds = sampling.fold_blocks(usable(spark, d), FOLDS)
     keyed = g.withColumns({"block_row": grids.block("y", 10), "block_col": grids.block("x", 10), "label": (c("lidar") > 0).cast("double")})
     return keyed.join(folds, ["block_row", "block_col"], "left"), ["pred", "other", "height", "code"]
 
@@ -273,7 +274,7 @@ def hurdle_predict(spark, d):
 @query()
 def oof_predict(spark, d):
     s, f = samples(spark, d)
-    return learning.out_of_fold(s, f, "label", "lidar", 3, trees=5).select("y", "x", "fold", *r("pred"))
+    return learning.out_of_fold(s, f, "label", "lidar", FOLDS).select("y", "x", "fold", *r("pred"))
 
 
 @query()

@@ -122,6 +122,18 @@ def test_moran_of_a_checkerboard_and_permutations(spark):
     assert all(1 / 50 <= r[3] <= 1 for r in first)
 
 
+def test_every_fold_is_predicted_out_of_fold(spark):
+    rows = [(i, float(i % 7), float(i % 2), float(i % 7) * 10, i % 5 if i < 100 else None) for i in range(110)]
+    df = spark.createDataFrame(rows, "y int, f double, label double, v double, fold int")
+    got = {r["y"]: r["pred"] for r in learning.out_of_fold(df, ["f"], "label", "v", 5, trees=2).collect()}
+    assert set(got) == set(range(110)) and all((p is None) == (y >= 100) for y, p in got.items())
+
+
+def test_oof_predict_reaches_every_fold(spark):
+    folds = {r["fold"] for r in catalogue.queries()["oof_predict"](spark, SF).select("fold").distinct().collect()}
+    assert folds >= set(range(5))
+
+
 def test_screening_on_small_matrices():
     rho = np.array([[1, 0.95, 0.1], [0.95, 1, 0.2], [0.1, 0.2, 1]])
     assert learning.drop_correlated(rho, ["a", "b", "c"], [0.3, 0.5, 0.1]) == ["b", "c"]
