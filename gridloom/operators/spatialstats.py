@@ -52,25 +52,35 @@ def correlogram(cells: DataFrame, value: str, distances: list[int]) -> DataFrame
     return pairs.groupBy("distance").agg(F.count(F.lit(1)).alias("n_pairs"), cov.alias("covariance"), (cov / F.first("v")).alias("autocorrelation"))
 
 
-def permutation_p(cells: DataFrame, value: str, band: float = 1.5, permutations: int = 199, seed: int = 42, sample: int = 4096) -> DataFrame:
+def permutation_p(cells: DataFrame, value: str, band: float = 1.5, permutations: int = 9999, seed: int = 42) -> DataFrame:
     """(y, x, local_i, p): conditional permutation pseudo p-values of local Moran.
 
-    Neighbour values are replaced by draws from a bounded, hash-ordered sample of all cells (``sample`` values, sent to
-    every task); each cell seeds its own generator, so results do not depend on partitioning.
+    A cell's neighbour values are replaced by draws without replacement from all other cells' values, which are sent to
+    every task; each cell seeds its own generator, so results do not depend on partitioning.
     """
     near = lags(cells, value, band)
     total = near.agg(F.avg(value).alias("mu"), F.count(F.lit(1)).alias("n"), (F.var_pop(value) * F.count(F.lit(1))).alias("ss")).first()
-    pool = np.array([r[0] for r in near.orderBy(F.xxhash64("y", "x", F.lit(seed)), "y", "x").limit(sample).select(value).collect()]) - (total["mu"] or 0.0)
     mu, n, ss = total["mu"], total["n"], total["ss"]
+    known = near.select("y", "x", value).toPandas().sort_values(["y", "x"])
+    place = lambda t: t["y"].to_numpy(np.int64) * 2**32 + t["x"].to_numpy(np.int64)
+    sent = cells.sparkSession.sparkContext.broadcast((place(known), known[value].to_numpy(np.float64) - (mu or 0.0)))
 
     def run(batches):
+        places, pool = sent.value
         for pdf in batches:
             z, lag = pdf[value].to_numpy() - mu, pdf["lag"].to_numpy() - mu
             i_obs = (n - 1) * z * lag / ss
             p = np.empty(len(pdf))
-            for r, (y, x, k) in enumerate(zip(pdf["y"], pdf["x"], pdf["n_neighbours"])):
+            for r, (y, x, k, own) in enumerate(zip(pdf["y"], pdf["x"], pdf["n_neighbours"], np.searchsorted(places, place(pdf)))):
                 rng = np.random.default_rng((seed, int(y), int(x)))
-                sim = (n - 1) * z[r] * pool[rng.integers(0, len(pool), (permutations, int(k)))].mean(axis=1) / ss
+                taken, drawn = np.full((permutations, 1), own), np.zeros(permutations)
+                for j in range(int(k)):  # a number among the cells not taken yet, counted on past those that are
+                    one = rng.integers(0, len(pool) - 1 - j, permutations)
+                    for i in range(j + 1):
+                        one += one >= taken[:, i]
+                    drawn += pool[one]
+                    taken = np.sort(np.column_stack([taken, one]), axis=1)
+                sim = (n - 1) * z[r] * (drawn / k) / ss
                 larger = int((sim >= i_obs[r]).sum())
                 p[r] = (min(larger, permutations - larger) + 1) / (permutations + 1)
             yield pdf[["y", "x"]].assign(local_i=i_obs, p=p)

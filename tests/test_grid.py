@@ -122,6 +122,13 @@ def test_moran_of_a_checkerboard_and_permutations(spark):
     assert all(1 / 50 <= r[3] <= 1 for r in first)
 
 
+def test_permutations_are_enough_for_small_p(spark):
+    a = np.random.default_rng(3).normal(size=(14, 14))
+    a[5:8, 5:8] += 20
+    got = {(r["y"], r["x"]): r["p"] for r in spatialstats.permutation_p(grid_of(spark, a), "v").collect()}
+    assert got[6, 6] == pytest.approx(1 / 10000)
+
+
 def test_every_fold_is_predicted_out_of_fold(spark):
     rows = [(i, float(i % 7), float(i % 2), float(i % 7) * 10, i % 5 if i < 100 else None) for i in range(110)]
     df = spark.createDataFrame(rows, "y int, f double, label double, v double, fold int")
