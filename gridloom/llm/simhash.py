@@ -123,16 +123,18 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
 
 
 def only(rows: DataFrame, pairs: DataFrame, column: str, most_sent: int = 500_000) -> DataFrame:
-    """``rows`` that ``pairs`` name in ``column``. Up to a bound the names are sent to the rows, so no others are shuffled."""
-    names = pairs.select(F.col(column).alias("row")).distinct()
+    """(row, column) of ``rows`` that ``pairs`` name. Up to a bound the names are sent to the rows, so no others are shuffled."""
+    names = written(pairs.select(F.explode(F.array("row", "first")).alias("row")).distinct(), "names")
     few = names.limit(most_sent + 1).count() <= most_sent
-    return rows.join(F.broadcast(names), "row", "left_semi") if few else rows
+    own = rows.select("row", column)
+    return written(own.join(F.broadcast(names), "row", "left_semi"), "named-rows") if few else own
 
 
 def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, first, guess) of pairs (row, first): the share of equal minima among bins that either sketch has."""
-    mine = pairs.join(only(rows, pairs, "row").select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
-    both = mine.join(only(rows, pairs, "first").select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
+    named = only(rows, pairs, "sketch")
+    mine = pairs.join(named.select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(named.select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
 
     def run(batches):
         import pyarrow as pa
@@ -148,8 +150,9 @@ def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
     """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
-    mine = pairs.select("row", "first").join(only(rows, pairs, "row").select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
-    both = mine.join(only(rows, pairs, "first").select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
+    named = only(rows, pairs, "text")
+    mine = pairs.select("row", "first").join(named.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
+    both = mine.join(named.select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
 
     def run(batches):
         import pyarrow as pa
@@ -168,7 +171,7 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
     return both.mapInArrow(run, "row long, first long")
 
 
-def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, most_rounds: int = 8) -> DataFrame:
+def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, most_rounds: int = 3) -> DataFrame:
     """Pairs (a, b) of fingerprints of rows (row, fp, text, sketch, bands; written) that are that similar.
 
     They connect every two rows that share a key and have that Jaccard similarity of their shingles. Sketches (standard
