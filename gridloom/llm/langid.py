@@ -29,7 +29,7 @@ RESULT = "lang_pred string, score double, cross_entropy double, margin double, r
 
 def letter_codes() -> np.ndarray:
     """For each code point its lower-case letter's code point, 0 for anything but a letter (Unicode category L*)."""
-    kept = worker_state()
+    kept = worker_state("letters")
     if "letters" not in kept:
         table = np.zeros(sys.maxunicode + 1, np.uint32)
         for c in range(sys.maxunicode + 1):

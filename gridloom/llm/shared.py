@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import sys
 import tempfile
 import types
@@ -21,11 +22,11 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("gridloom.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``). Unset, as in tests: a temporary one in local mode, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gridloom.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("gridloom.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,9 +60,31 @@ def ship(spark: SparkSession, value) -> Callable:
     return lambda: pickle.loads(sent.value)
 
 
-def worker_state() -> dict:
-    """What a Python worker keeps from one task to the next."""
-    return sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker")).__dict__
+def worker_state(owner: str) -> dict:
+    """What a Python worker keeps from one task to the next for one ``owner``.
+
+    Workers outlive the stage that filled them, so the first task of another owner drops what the last one kept and
+    gives freed memory back to the system.
+    """
+    kept = sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker")).__dict__
+    if kept.get("owner") != owner:
+        kept["owner"], kept["held"] = owner, {}
+        release()
+    return kept["held"]
+
+
+def release() -> None:
+    """Give memory that Python and Arrow have freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 #: Columns of documents that operators read by name.
@@ -107,6 +130,29 @@ def slices(column, step: int = STEP_BYTES):
         a = b
 
 
+def text_steps(column, step: int = STEP_BYTES):
+    """:func:`slices` with texts longer than ``step`` cut at white space: (first row, last row, bytes, offsets, more).
+
+    ``more`` says that the one text of this step goes on in the next one. A stretch without white space stays whole.
+    """
+    for a, b, raw, offsets in slices(column, step):
+        if b - a > 1 or len(raw) <= step:
+            yield a, b, raw, offsets, False
+            continue
+        at = 0
+        while at < len(raw):
+            end = min(at + step, len(raw))
+            if end < len(raw):
+                while end < len(raw):
+                    space = np.flatnonzero(_SPACE[raw[end : end + step]])
+                    if len(space):
+                        end += int(space[0]) + 1
+                        break
+                    end = min(end + step, len(raw))
+            yield a, b, raw[at:end], np.array([0, end - at]), end < len(raw)
+            at = end
+
+
 def seg_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``starts`` (the last entry is the end); empty segments give 0."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64)

@@ -182,11 +182,27 @@ def tokenizer():
 
 def test_tokens_equal_the_tokenizers(tokenizer):
     table = pq.read_table(f"{SF}/documents.parquet")
-    odd = ["", "  ", "it's o'clock don't'll 12 ab12 <|endoftext|> x", "_*_ a_b__c", "DON'T I'LL 'sad", "x<|endoftext|>y", "ÉÅ ñ é ́ a", "a\x85b c\xa0d", "µ²½ ×÷", "\x00\x00a b", "\x00", "a\x1cb\x0bc\x0cd", "İstanbul ǅ", "漢字 仮名", "a" * 5000]
+    odd = ["", "  ", "it's o'clock don't'll 12 ab12 <|endoftext|> x", "_*_ a_b__c", "DON'T I'LL 'sad", "x<|endoftext|>y", "ÉÅ ñ é ́ a", "a\x85b c\xa0d", "µ²½ ×÷", "\x00\x00a b", "\x00", "a\x1cb\x0bc\x0cd", "'s's're", "x've'd12'm 'l 'r ''s", "a<b|c <| \x7f'", "é'É 'T'RE'", "İstanbul ǅ", "漢字 仮名", "a" * 5000]
     texts = table["text"].to_pylist() + odd
-    ids, starts = packing.WordTokenizer(queries.tokenizer_path()).encode_many(pa.array(texts))
-    for i, t in enumerate(texts):
-        assert ids[starts[i] : starts[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids + [0]
+    rng = np.random.default_rng(4)
+    texts += ["".join(rng.choice(list("ab'sSlrvetmd19 _.-\n<|é×"), 60)) for _ in range(200)] + [sentence(random.Random(1), 250_000, 10**6)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    for words in (packing.WordTokenizer(queries.tokenizer_path()), packing.WordTokenizer(queries.tokenizer_path(), places=1 << 10, most=4000)):
+        ids, starts = words.encode_many(pa.array(texts))
+        for i in range(len(texts)):
+            assert ids[starts[i] : starts[i + 1]].tolist() == want[i]
+
+
+def test_another_tokenizer_file_is_used_by_whole_texts(tmp_path, tokenizer):
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]  # no lower case
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    words = packing.WordTokenizer(str(tmp_path / "t.json"))
+    ids, starts = words.encode_many(pa.array(["Abc DEF", "", None]))
+    assert not words.known and np.diff(starts).tolist()[1:] == [1, 1]
+    assert ids[: starts[1]].tolist() == words.whole.encode("Abc DEF", add_special_tokens=False).ids + [0]
 
 
 def check_packing(rows, docs, tokenizer, capacity=2048):
@@ -225,18 +241,76 @@ def test_knapsack_against_enumeration():
     for _ in range(20):
         lengths = np.unique(rng.integers(2, 12, 4))
         value = rng.random(len(lengths))
-        got = packing.best_configuration(lengths, value, 24)
-        best, options = 0.0, [np.zeros(len(lengths), int)]
+        best, took = packing.knapsack(lengths, value, 24)
+        most, options = 0.0, [np.zeros(len(lengths), int)]
         while options:
             o = options.pop()
-            best = max(best, float(o @ value))
+            most = max(most, float(o @ value))
             last = int(np.flatnonzero(o)[-1]) if o.any() else 0
             for i in range(last, len(lengths)):
                 n = o.copy()
                 n[i] += 1
                 if n @ lengths <= 24:
                     options.append(n)
-        assert got @ lengths <= 24 and abs(got @ value - best) < 1e-9
+        assert abs(best[24] - most) < 1e-9
+        heads = np.arange(len(lengths))
+        for i, (items, many) in zip(heads, packing.fillings(lengths, took, 24, heads)):
+            assert i in items and lengths[items] @ many <= 24
+            assert abs(value[items] @ many - value[i] - best[24 - lengths[i]]) < 1e-9
+
+
+def sequences(lengths, counts, capacity):
+    """Sequences that a plan uses; every item must be in it once and none may be too full."""
+    plan, bound = packing.solve(lengths, counts, capacity)
+    held = np.zeros(len(lengths), np.int64)
+    for items, many, times in plan:
+        assert lengths[items] @ many <= capacity and times > 0
+        held[items] += many * times
+    assert (held == counts).all()
+    return sum(t for *_, t in plan), bound
+
+
+def test_configuration_program_on_hard_histograms():
+    used, bound = sequences(np.array([341, 683, 1025]), np.array([1000] * 3), 2048)
+    assert used == 1125 and 1110 < bound <= 1125.001  # 1125 by hand; best fit alone takes 1167
+    rng, triples = np.random.default_rng(3), []
+    while len(triples) < 1500:
+        a, b = rng.integers(380, 900, 2).tolist()
+        if 380 <= 2048 - a - b <= 1000:
+            triples += [a, b, 2048 - a - b]
+    used, bound = sequences(*np.unique(triples, return_counts=True), 2048)
+    assert bound >= 499.99 and used <= 505  # 500 triples fill their sequences exactly
+    used, bound = sequences(*np.unique(np.clip(rng.lognormal(6, 1, 20000).astype(int), 1, 2047), return_counts=True), 2048)
+    assert used <= 1.002 * bound + 1
+
+
+def test_configuration_program_against_enumeration():
+    def least(items, capacity):  # fewest sequences, by trying each item in each open one
+        best = [len(items)]
+
+        def go(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(items):
+                best[0] = len(rooms)
+                return
+            for j in range(len(rooms)):
+                if rooms[j] >= items[i] and rooms[j] not in rooms[:j]:
+                    go(i + 1, rooms[:j] + [rooms[j] - items[i]] + rooms[j + 1 :])
+            go(i + 1, [*rooms, capacity - items[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng = np.random.default_rng(8)
+    for _ in range(25):
+        items = sorted(rng.integers(3, 15, 9).tolist(), reverse=True)
+        lengths, counts = np.unique(items, return_counts=True)
+        want = least(items, 20)
+        used, bound = sequences(lengths, counts, 20)
+        assert want <= used <= want + 1 and bound <= want + 1e-9
+        many, bound = sequences(lengths, counts * 300, 20)
+        assert bound - 1e-6 <= many <= 1.01 * 300 * want
 
 
 # ---- language and quality ---------------------------------------------------------------------------------------------
