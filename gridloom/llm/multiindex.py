@@ -13,16 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shards import search, vectors
-from .shared import ship
+from .shared import ship, written
 
 BITS = 16  # of a substring
 POP = np.array([bin(i).count("1") for i in range(1 << BITS)], dtype=np.uint8)
+#: All substring differences, fewest bits first, and how many have at most so many bits.
+MASKS = np.argsort(POP, kind="stable").astype(np.uint16)
+ENDS = np.cumsum(np.bincount(POP, minlength=BITS + 1))
 
 
 class Codes:
     """A centre, a rotation and a search radius."""
 
-    def fit(self, sample: np.ndarray, k: int, rounds: int = 30, recall: float = 0.985, seed: int = 5) -> Codes:
+    def fit(self, sample: np.ndarray, k: int, rounds: int = 30, recall: float = 0.96, seed: int = 5) -> Codes:
         rng = np.random.default_rng(seed)
         self.centre = sample.mean(axis=0)
         x = sample - self.centre
@@ -38,7 +41,7 @@ class Codes:
         d = (asked**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * asked @ x.T
         near = np.argsort(d, axis=1)[:, : k + 1]
         bits = self.distances(self.encode(asked + self.centre)[:, None, :], self.encode(sample)[near])
-        self.radius = int(np.quantile(bits, recall))
+        self.radius = int(np.quantile(bits, recall, method="higher"))
         return self
 
     def encode(self, x: np.ndarray) -> np.ndarray:
@@ -77,62 +80,40 @@ class Index:
             order = np.argsort(self.code[:, j], kind="stable")
             values, starts = np.unique(self.code[order, j], return_index=True)
             self.tables.append((values, np.append(starts, len(order)), order))
-        self.masks = {}
+        self.probed = self.reranked = 0
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` bits of ``code``."""
+        """Places of all codes within ``radius`` bits of ``code``; only codes in the probed buckets are looked at."""
         m = self.codes.m
-        seen = np.zeros(len(self.ids), bool)
+        hits = []
         for j, (values, starts, order) in enumerate(self.tables):
             reach = radius // m - (j > radius % m)
             if reach < 0:
                 continue
-            # buckets within reach: the directory of values in use is shorter than the list of all masks
-            for b in np.flatnonzero(POP[values ^ code[j]] <= reach):
-                seen[order[starts[b] : starts[b + 1]]] = True
-        at = np.flatnonzero(seen)
-        return at[self.codes.distances(self.code[at], code) <= radius]
-
-    def probe_many(self, asked: np.ndarray, radius: int) -> np.ndarray:
-        """Queries x places: whether a code lies within ``radius`` bits, found by way of the substrings' buckets."""
-        m = self.codes.m
-        seen = np.zeros((len(asked), len(self.ids)), bool)
-        for j, (values, starts, order) in enumerate(self.tables):
-            reach = radius // m - (j > radius % m)
-            if reach >= 0:
-                bucket = np.empty(len(order), np.int64)
-                bucket[order] = np.repeat(np.arange(len(values)), np.diff(starts))
-                seen |= (POP[values[None, :] ^ asked[:, j, None]] <= reach)[:, bucket]
-        i, j = np.nonzero(seen)
-        seen[i, j] = self.codes.distances(self.code[j], asked[i]) <= radius
-        return seen
-
-    def near(self, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place, distance) of the ``k`` nearest codes found for each query; ties to the smaller id.
-
-        A product of matrices tells which of the codes found can be among the k; those get their exact distances.
-        """
-        out = []
-        squares = (self.dense**2).sum(axis=1)
-        for a in range(0, len(ids), step):
-            own, q, code = ids[a : a + step], queries[a : a + step], asked[a : a + step]
-            found = self.probe_many(code, self.codes.radius) & (self.ids[None, :] != own[:, None])
-            for i in np.flatnonzero(found.sum(axis=1) < k):  # fewer than k in this shard: reach further
-                radius = self.codes.radius
-                while found[i].sum() < k and radius < self.codes.m * BITS:
-                    radius += 2 * self.codes.m
-                    found[i, self.probe(code[i], radius)] = True
-                    found[i] &= self.ids != own[i]
-            rough = np.where(found, (q**2).sum(axis=1)[:, None] + squares[None, :] - 2 * (q @ self.dense.T), np.inf)
-            n = min(k, rough.shape[1])
-            last = np.partition(rough, n - 1, axis=1)[:, n - 1]
-            margin = 1e-9 * ((q**2).sum(axis=1) + squares.max(initial=0.0) + 1)
-            i, j = np.nonzero(found & (rough <= np.where(np.isfinite(last), last + margin, np.inf)[:, None]))
-            d = np.sqrt(((self.dense[j] - q[i]) ** 2).sum(axis=1))
-            order = np.lexsort((j, d, i))
-            i, j, d = i[order], j[order], d[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
-            out.append((own[i[keep]], j[keep], d[keep]))
+            masks = MASKS[: ENDS[min(reach, BITS)]]
+            if len(masks) < len(values):  # every bucket within reach is asked for
+                wanted = masks ^ code[j]
+                at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+                at = at[values[at] == wanted]
+            else:  # the shard has fewer buckets than there are masks: its directory is read instead
+                at = np.flatnonzero(POP[values ^ code[j]] <= reach)
+            size = starts[at + 1] - starts[at]
+            hits.append(order[np.repeat(starts[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+        at = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+        self.probed += len(at)
+        at = at[self.codes.distances(self.code[at], code) <= radius]
+        self.reranked += len(at)
+        return at
+
+    def near(self, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, k: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, distance) of the ``k`` nearest of the codes within ``radius``; ties to the smaller id."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for own, q, code in zip(ids, queries, asked):
+            at = self.probe(code, radius)
+            at = at[self.ids[at] != own]
+            d = np.sqrt(((self.dense[at] - q) ** 2).sum(axis=1))
+            order = np.lexsort((at, d))[:k]
+            out.append((np.full(len(order), own), at[order], d[order]))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -140,16 +121,27 @@ def nearest(table: DataFrame, is_query: Column, k: int = 10, sample_rows: int =
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found by Euclidean distance among all other vectors.
 
     Vectors null, zero or with a null or non-finite component, and rows without an id, take no part. Ties go to the
-    smaller vec_id; see :func:`shards.search` for repeated rows and unequal lengths. Extra columns are ignored.
+    smaller vec_id; see :func:`shards.search` for repeated rows and unequal lengths. One radius holds for all shards;
+    a query that finds fewer than ``k`` rows within it is asked again without one, so it gets all candidates if there
+    are fewer. Extra columns are ignored; an empty table gives no rows.
     """
     rows = vectors(table, False)
     codes = fit(rows, k, sample_rows)
     load = ship(rows.sparkSession, codes)
 
-    def group(queries, candidates):
-        own = load()
-        index = Index(*candidates, own)
-        query, place, distance = index.near(*queries, own.encode(queries[1]), k)
-        return query, candidates[0][place], distance
-
-    return search(rows, is_query, group, k, True, "double")
+    def group(radius):
+        def run(queries, candidates):
+            own = load()
+            index = Index(*candidates, own)
+            query, place, distance = index.near(*queries, own.encode(queries[1]), k, own.radius if radius is None else radius)
+            return query, candidates[0][place], distance
+
+        return run
+
+    found = written(search(rows, is_query, group(None), k, True, "double"), "nearest")
+    full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+    short = written(rows.where(is_query).select("vec_id").distinct().join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    if codes is None or short.isEmpty():
+        return found
+    wide = search(rows, is_query, group(codes.m * BITS), k, True, "double", only=short)
+    return found.join(full, "query_id", "left_semi").select(wide.columns).union(wide)

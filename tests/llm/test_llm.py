@@ -390,15 +390,68 @@ def test_maxscore_against_brute_force(spark):
     assert maxscore.top_products(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_multiindex_probing_is_complete_and_recall_holds(spark):
+def test_maxscore_leaves_most_of_a_shard_untouched():
+    rng = np.random.default_rng(16)
+    rows = np.floor(rng.standard_exponential((4000, 64)) ** 2 * np.where(rng.random((4000, 64)) < 0.1, 20, 1))
+    floors, k = rows[:1000], 5
+    shard = maxscore.Postings(rows)
+    for q in rows[:40]:
+        known = np.sort(floors @ q)[-k]
+        at = shard.competitive(q, np.zeros(0, np.int64), known, 0.5, k)
+        best = np.sort(rows @ q)[::-1][:k]
+        assert np.sort(rows[at] @ q)[::-1][:k].tolist() == best.tolist()
+    assert shard.touched < 0.8 * 40 * len(rows)
+    assert shard.probed < 0.3 * 40 * rows.size
+
+
+def test_maxscore_beyond_doubles_and_longs(spark):
+    rng = np.random.default_rng(17)
+    for scale in (3e5, 1e8, 1e30, 1e200):
+        rows = [(i, [float(x) * scale for x in rng.standard_normal(5)], "s", "v") for i in range(60)]
+        rows += [(60, rows[2][1], "s", "v"), (61, [float(np.float32(1e38))] * 5, "s", "v")]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, vec string")
+        got = defaultdict(list)
+        for r in maxscore.top_products(table, F.col("vec_id") % 20 == 0).collect():
+            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        whole = {i: [int(256.0 * x) if abs(256 * x) >= 2**52 else int(np.floor(256 * x)) for x in v] for i, v, *_ in rows}
+        wide = 10**38 - 1
+        for q in (0, 20, 40, 60):
+            best = sorted((-max(min(sum(a * b for a, b in zip(whole[q], w)), wide), -wide), i) for i, w in whole.items() if i != q)[:5]
+            top = 2**63 - 1
+            assert sorted(got[q]) == [(n + 1, i, max(min(-s, top), -top)) for n, (s, i) in enumerate(best)]
+
+
+def test_multiindex_probing_is_complete():
+    rng = np.random.default_rng(7)
+    for rows in (500, 60_000):  # with fewer and with more buckets than masks
+        x = rng.standard_normal((rows, 40))
+        codes = multiindex.Codes().fit(x[:500], 5)
+        index = multiindex.Index(np.arange(rows), x, codes)
+        for radius in (0, 1, 5, 9, 14):
+            for q in range(5):
+                near = np.flatnonzero(codes.distances(index.code, index.code[q]) <= radius)
+                assert sorted(index.probe(index.code[q], radius)) == near.tolist()
+
+
+def test_multiindex_recall_and_pruning_on_one_large_shard():
+    rng = np.random.default_rng(18)
+    centres = rng.standard_normal((200, 64))
+    for x, most in ((centres[rng.integers(0, 200, 20_000)] + 0.4 * rng.standard_normal((20_000, 64)), 0.1), (rng.standard_normal((20_000, 64)), 0.6)):
+        codes = multiindex.Codes().fit(x[rng.permutation(20_000)[:4096]], 10)
+        index = multiindex.Index(np.arange(20_000), x, codes)
+        asked = np.arange(0, 20_000, 200)
+        query, place, _ = index.near(asked, x[asked], index.code[asked], 10, codes.radius)
+        hits = 0
+        for q in asked:
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            hits += len(set(np.argsort(d)[:10]) & set(place[query == q]))
+        assert hits / (10 * len(asked)) >= 0.9
+        assert index.reranked < most * len(asked) * len(x)
+
+
+def test_multiindex_against_brute_force(spark):
     rng = np.random.default_rng(7)
-    x = rng.standard_normal((500, 40))
-    codes = multiindex.Codes().fit(x, 5)
-    index = multiindex.Index(np.arange(500), x, codes)
-    for radius in (0, 1, 5, 9, 14):
-        for q in range(5):
-            near = np.flatnonzero(codes.distances(index.code, index.code[q]) <= radius)
-            assert sorted(index.probe(index.code[q], radius)) == near.tolist()
     rows = awkward_vectors(rng, 400)
     found = multiindex.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, 10).collect()
     usable = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
@@ -407,6 +460,7 @@ def test_multiindex_probing_is_complete_and_recall_holds(spark):
         want = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in usable if i != q)[:10]
         mine = sorted((r["rank"], r["score"], r["vec_id"]) for r in found if r["query_id"] == q)
         assert [m[0] for m in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        assert len(mine) == 10
         hits += len({i for _, i in want} & {m[2] for m in mine})
         total += len(want)
     assert hits / total >= 0.9
