@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, pick, ship, slices, with_text, worker_state
+from .shared import arrow, bounded, mix64, pick, release, ship, slices, text_steps, with_text, worker_state
 
 UNKNOWN = "und"
-#: Bytes of text that one step of fitting on the driver handles.
+#: Bytes of text that one step handles, of fitting on the driver as of scoring in a worker.
 FIT_BYTES = 1 << 19
 RESULT = "lang_pred string, score double, cross_entropy double, margin double, rejected boolean, n_letters long"
 
@@ -43,7 +43,7 @@ def letter_codes() -> np.ndarray:
 def symbols(raw: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, text starts and end, letters per text, letter code points): boundary 0, unknown letters 1, known from 2.
 
-    Each text yields a boundary sign for every stretch of non-letters and one at its end, none at its start.
+    Each text yields a boundary sign for every stretch of non-letters behind a letter, none at its start.
     """
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -183,20 +183,23 @@ class Model:
             out[miss] = rest
         return out
 
-    def entropies(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(nats per symbol by text and language, letters per text, symbols per text)."""
+    def costs(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats by text and language, letters per text, symbols per text)."""
         import pandas as pd
 
         code, starts, n_letters, _ = symbols(raw, offsets, self.alphabet)
-        if not len(code):
-            return np.zeros((len(offsets) - 1, len(self.languages))), n_letters, np.diff(starts)
-        which, distinct = pd.factorize(grams(code, starts, self.order))
-        cost = -np.log(self._linear(self.order, distinct))
-        sums = np.empty((len(offsets) - 1, len(self.languages)))
-        for k in range(len(self.languages)):
-            total = np.concatenate([[0.0], np.cumsum(cost[:, k][which])])
-            sums[:, k] = total[starts[1:]] - total[starts[:-1]]
-        n = np.diff(starts)
+        sums = np.zeros((len(offsets) - 1, len(self.languages)))
+        if len(code) and self.languages:
+            which, distinct = pd.factorize(grams(code, starts, self.order))
+            cost = -np.log(self._linear(self.order, distinct))
+            for k in range(len(self.languages)):
+                total = np.concatenate([[0.0], np.cumsum(cost[:, k][which])])
+                sums[:, k] = total[starts[1:]] - total[starts[:-1]]
+        return sums, n_letters, np.diff(starts)
+
+    def entropies(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per symbol by text and language, letters per text, symbols per text)."""
+        sums, n_letters, n = self.costs(raw, offsets)
         return sums / np.maximum(n, 1)[:, None], n_letters, n
 
     def calibrate(self, texts: list[str], langs: list[str], slack: float = 2.0) -> Model:
@@ -223,47 +226,59 @@ class Model:
         self.limit = slack * max(high)
         return self
 
-    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-        ce, letters, n = self.entropies(raw, offsets)
+    def judge(self, sums: np.ndarray, letters: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        """Columns of RESULT from the nats by text and language, letters and symbols of each text."""
+        none = letters == 0
+        if not self.languages:
+            gap = np.full(len(n), np.nan)
+            return {"lang_pred": np.full(len(n), UNKNOWN, object), "score": np.zeros(len(n)), "cross_entropy": gap, "margin": gap, "rejected": none, "n_letters": letters}
+        ce = sums / np.maximum(n, 1)[:, None]
         best = ce.argmin(axis=1)
-        rows = np.arange(len(best))
-        low = ce[rows, best]
+        low = ce[np.arange(len(best)), best]
         sharp = np.minimum(np.maximum(n, 1), 50)[:, None]
         score = 1.0 / np.exp(-(ce - low[:, None]) * sharp).sum(axis=1)
         margin = np.sort(ce, axis=1)[:, 1] - low if ce.shape[1] > 1 else np.full(len(best), np.inf)
         z = (low - self.mean[best]) * np.sqrt(np.minimum(n, 400)) / self.spread[best]
-        none = letters == 0
         score[none] = 0.0
         names = np.array([*self.languages, UNKNOWN], dtype=object)
         return {"lang_pred": names[np.where(none, len(names) - 1, best)], "score": score, "cross_entropy": np.where(none, np.nan, low), "margin": np.where(none, np.nan, margin), "rejected": none | (z > self.limit), "n_letters": letters}
 
 
-def fit(docs: DataFrame, trainable, order: int = 5, rows_per_language: int = 1000, seed: int = 7) -> Model:
-    """A model fitted on at most about ``rows_per_language`` whole labelled texts of each language.
+def fit(docs: DataFrame, trainable, order: int = 5, rows_per_language: int = 1000, most_bytes: int = 16 << 20, most_languages: int = 200, seed: int = 7) -> Model:
+    """A model fitted on at most about ``rows_per_language`` different whole labelled texts of each language.
 
     ``trainable``: a condition on rows of ``docs``. The bounded sample is drawn by a hash of the text, so it is the same
-    at every partitioning; a quarter of it is kept out of the counts and calibrates rejection. Raises ValueError if no
-    text is labelled.
+    at every partitioning, each different text once, up to ``most_bytes`` of text for all of the ``most_languages`` most
+    frequent languages together; a quarter of it is kept out of the counts and calibrates rejection. Where no text is
+    labelled the model has no language: it calls every text ``und`` and rejects only those without a letter.
     """
     rows = pick(docs.where(trainable), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text").alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in found.orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        model = Model([], order)
+        model.alphabet = np.zeros(0, np.int64)
+        return model
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, rows_per_language / v))])
-    some = rows.where(draw < share[F.col("lang")]).withColumn("part", F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(4)))
-    sample = sorted((r["lang"], r["text"], r["part"]) for r in some.collect())
+    share = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, rows_per_language / max(v, 1)))])
+    some = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).distinct().withColumn("part", F.pmod(F.xxhash64("text", F.lit(seed + 1)), F.lit(4)))
+    sample = sorted((r["lang"], r["text"], r["part"]) for r in bounded(some, F.xxhash64("text", F.lit(seed + 2)), most_bytes))
+    if not sample:  # every drawn text is beyond the bound: one is taken all the same
+        sample = [(r["lang"], r["text"], r["part"]) for r in some.orderBy(F.octet_length("text"), "lang", "text").limit(1).collect()] or [(r["lang"], r["text"], 1) for r in rows.orderBy(F.octet_length("text"), "lang", "text").limit(1).collect()]
     train = [x for x in sample if x[2] != 0] if len(sample) >= 40 else sample
     model = Model(sorted({x[0] for x in train}), order).fit([x[1] for x in train], [x[0] for x in train])
     rest = [x for x in sample if x[2] == 0 and x[0] in model.languages] or train
-    return model.calibrate([x[1] for x in rest], [x[0] for x in rest])
+    model.calibrate([x[1] for x in rest], [x[0] for x in rest])
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``docs``' columns ``keep`` with the predicted language of each whole text (columns of RESULT).
 
     Null texts, empty ones and those without a letter give ``und``, score 0 and are rejected. Repeated rows get the
-    same result each. Only ``text`` is read for the prediction; extra columns pass only if they are in ``keep``.
+    same result each. A long text is read in steps cut at white space, whose costs are summed. An empty table gives no
+    rows. Only ``text`` is read for the prediction; extra columns pass only if they are in ``keep``.
     """
     load = ship(docs.sparkSession, model)
     frame = with_text(docs, keep)
@@ -274,9 +289,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
         model = load()
         for batch in batches:
-            for a, b, raw, offsets in slices(batch.column(batch.num_columns - 1)):
-                found = model.predict(raw, offsets)
+            held = []  # of a long text's steps so far
+            for a, b, raw, offsets, more in text_steps(batch.column(batch.num_columns - 1), FIT_BYTES):
+                held.append(model.costs(raw, offsets))
+                if more:
+                    continue
+                found, held = model.judge(*[sum(x[1:], x[0]) for x in zip(*held)]), []
                 own = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, *[pa.array(found[c], from_pandas=True) for c in found]], names=[*keep, *found])
 
-    return frame.mapInArrow(score, f"{schema}, {RESULT}")
+    return arrow(frame, score, f"{schema}, {RESULT}")

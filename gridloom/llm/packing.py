@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, pick, text_steps, worker_state, written
+from .shared import arrow, mix64, pick, text_steps, worker_state, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -267,7 +267,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 out[np.arange(len(ids)) + np.repeat(np.arange(b - a), tokens)] = ids
                 yield cut(batch.column(0).slice(a, b - a), out, tokens + 1)
 
-    return pick(docs, "doc_id", "text").mapInArrow(tokenise, PIECES)
+    return arrow(pick(docs, "doc_id", "text"), tokenise, PIECES)
 
 
 # ---- the linear program -------------------------------------------------------------------------------------------
@@ -494,7 +494,7 @@ def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 250_000, gap:
 
     # the order within a group is free: any order gives each piece its own rank
     by_group = dealt.repartition("length", "grp").sortWithinPartitions("length", "grp", "doc_id", "piece", "ids_crc32")
-    return by_group.select(*names[:5], "grp").mapInArrow(place, PACKED).union(alone)
+    return arrow(by_group.select(*names[:5], "grp"), place, PACKED).union(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:

@@ -54,6 +54,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{n}`"] for n in names])
 
 
+def bounded(sample: DataFrame, order: Column, most_bytes: int) -> list:
+    """Rows of a small drawn ``sample`` in the order of a hash, whole texts, until they hold ``most_bytes`` bytes of text."""
+    from pyspark.sql import Window
+
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(order, "text").rowsBetween(Window.unboundedPreceding, 0))
+    return sample.withColumn("__so_far", so_far).where(F.col("__so_far") <= most_bytes).drop("__so_far").collect()
+
+
 def ship(spark: SparkSession, value) -> Callable:
     """A function that gives ``value`` on executors: broadcast once, classes included, so nothing is imported there."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -153,6 +161,28 @@ def text_steps(column, step: int = STEP_BYTES):
             at = end
 
 
+#: Rows of an Arrow batch: long texts come in tens of megabytes a batch with Spark's default of 10,000.
+BATCH_ROWS = 1000
+
+
+def arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_ROWS rows, and a worker that gives its memory back after each task.
+
+    The number of rows is the session's setting, which is only changed where it has Spark's default.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def seg_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``starts`` (the last entry is the end); empty segments give 0."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64)
@@ -198,10 +228,9 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
     number = np.cumsum(first, dtype=np.int32) - 1
     at = np.arange(len(raw), dtype=np.int32) - starts.astype(np.int32)[np.maximum(number, 0)]
-    table = 4096  # powers for this many places; longer words go on with the place modulo the table
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(table, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
-        terms = (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[at & (table - 1)]
+        powers = np.cumprod(np.full(int(at[inside].max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))  # one for each place of the longest word
+        terms = (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[np.minimum(at, len(powers) - 1)]
         terms[~inside] = 0
         hashes = mix64(np.add.reduceat(terms, starts))
     return hashes, np.searchsorted(starts, offsets).astype(np.int64)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, pick, seg_sum, with_text, written
+from .shared import arrow, mix64, pick, seg_sum, with_text, written
 
 LANES = 0x0101010101010101
 
@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
                 yield pa.RecordBatch.from_arrays([*own, *found.values()], names=[*keep, *found])
                 at = b
 
-    return frame.mapInArrow(run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
+    return arrow(frame, run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
 
 
 def only(rows: DataFrame, pairs: DataFrame, column: str, most_sent: int = 500_000) -> DataFrame:
@@ -145,7 +145,7 @@ def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
             guess = ((x == y) & held).sum(axis=1) / np.maximum(held.sum(axis=1), 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], names=["row", "first", "guess"])
 
-    return both.mapInArrow(run, "row long, first long, guess double")
+    return arrow(both, run, "row long, first long, guess double")
 
 
 def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
@@ -168,7 +168,7 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
                 keep.append(shared >= similarity * (len(own) + len(theirs) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["row", "first"])
 
-    return both.mapInArrow(run, "row long, first long")
+    return arrow(both, run, "row long, first long")
 
 
 def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, most_rounds: int = 3) -> DataFrame:

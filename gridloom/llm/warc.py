@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import joined, pick, work_path, written
+from .shared import arrow, joined, pick, work_path, written
 
 INDEX = "page_id long, record_type string, record_id string, refers_to_record string, target_uri string, payload_bytes long, payload_digest string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -140,7 +140,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.string())) for k, v in rows.items()})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, INDEX)
+    return arrow(files.select("content"), parse, INDEX)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:

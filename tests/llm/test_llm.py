@@ -339,8 +339,11 @@ def test_langid_on_held_out_rows(spark, nasty, empty):
     assert langid.identify(empty, model, ["doc_id"]).count() == 0
     junk = docs_of(spark, ["qzxv kjwq vvxz qqkj zzxw " * 20])
     assert langid.identify(junk, model, ["doc_id"]).first()["rejected"]
-    with pytest.raises(ValueError):
-        langid.fit(empty, F.lit(True))
+    blank = langid.fit(empty, F.lit(True))
+    got = langid.identify(nasty, blank, ["text"]).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+    assert all(r["rejected"] != any(c.isalpha() for c in r["text"] or "") for r in got)
+    assert langid.fit(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)).languages == []
 
 
 def test_scores_do_not_depend_on_batches(spark):
@@ -361,6 +364,82 @@ def test_quality_on_held_out_rows(spark, nasty, empty):
     rows = quality.classify(nasty, model, ["doc_id"]).collect()
     assert len(rows) == nasty.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.classify(empty, model, ["doc_id"]).count() == 0
+    for d, l in ((empty, labels), (docs, labels.limit(0))):
+        blank = quality.fit(d, l, lambda c: F.lit(True))
+        assert {r["score"] for r in quality.classify(nasty, blank, ["doc_id"]).collect()} == {0.5}
+
+
+def test_quality_against_loops_on_a_tiny_model():
+    texts = ["Ab cd ab", "éa  b\nÉa", "", "x", "to be or not to be"]
+    model = quality.Classifier(buckets=1 << 9, dim=3).fit(texts, np.array([0, 1, 2, 1, 0]), epochs=3, classes=3)
+
+    def grams(text, n):
+        for word in text.split():
+            word = "\0" + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in word) + "\0"
+            for i in range(len(word) - n + 1):
+                h = 0
+                for c in word[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ ord(c)
+                h = h * 0x9E3779B1 & 0xFFFFFFFF
+                yield (h ^ h >> 15) & 511
+
+    raw, offsets = next((r, o) for _, _, r, o in slices(pa.array(texts)))
+    parts = list(model.features(raw, offsets))
+    for i, text in enumerate(texts):
+        words = [int(h) for h in parts[0][0][parts[0][1][i] : parts[0][1][i + 1]]]
+        pairs = [int(h) for h in parts[1][0][parts[1][1][i] : parts[1][1][i + 1]]]
+        assert len(words) == len(pairs) == len(text.split())
+        ids = words + pairs
+        for n, (h, at) in zip((3, 4), parts[2:]):
+            assert h[at[i] : at[i + 1]].tolist() == list(grams(text, n))
+            ids += list(grams(text, n))
+        hidden = sum((model.vectors[j].astype(float) for j in ids), np.zeros(3)) / max(len(ids), 1)
+        z = np.exp(hidden @ model.output.astype(float) + model.bias)
+        assert np.allclose(model.probabilities(*model.sums(raw, offsets))[i], z / z.sum(), atol=1e-5)
+
+
+def test_kneser_ney_against_the_textbook():
+    texts, order, D = ["abra cadabra", "abba", "cab bac"], 3, 0.75
+    model = langid.Model(["x"], order).fit(texts, ["x"] * 3)
+    code = {c: 2 + i for i, c in enumerate(sorted(set("abracd")))}
+    grams_ = []
+    for t in texts:  # boundary 0 before a text and between words
+        s = [0] * (order - 1) + [code.get(c, 0) for c in t]
+        grams_ += [tuple(s[i - order + 1 : i + 1]) for i in range(order - 1, len(s))]
+    counts = {order: Counter(grams_)}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def prob(g):
+        if not g:
+            return 1 / model.V
+        own = {k: v for k, v in counts[len(g)].items() if k[:-1] == g[:-1]}
+        if not own:
+            return prob(g[1:])
+        total = sum(own.values())
+        return max(own.get(g, 0) - D, 0) / total + D * len(own) / total * prob(g[1:])
+
+    for g in [*set(grams_), (2, 2, 2), (5, 3, 1), (1, 1, 1), (0, 2, 5)]:
+        packed = np.array([np.uint64(sum(x << 12 * (order - 1 - i) for i, x in enumerate(g)))])
+        assert model._linear(order, packed)[0, 0] == pytest.approx(prob(g))
+
+
+def test_long_texts_are_read_in_steps(spark, tokenizer):
+    rng = random.Random(41)
+    long = sentence(rng, 400_000, 3000)  # some 2.5 MB, several steps
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang IS NOT NULL")
+    table = docs_of(spark, [long, "short text", long[:1_500_000] + "x" * 1_200_000])
+    model = langid.fit(docs, F.lit(True))
+    raw = np.frombuffer(long.encode(), np.uint8)
+    whole = model.judge(*model.costs(raw, np.array([0, len(raw)])))
+    got = {r["doc_id"]: r for r in langid.identify(table, model, ["doc_id"]).collect()}
+    assert got[0]["lang_pred"] == whole["lang_pred"][0] and got[0]["cross_entropy"] == pytest.approx(whole["cross_entropy"][0], rel=1e-3)
+    assert got[0]["n_letters"] == sum(c.isalpha() for c in long)
+    small = quality.Classifier(buckets=1 << 10, dim=2).fit(["a b", "c d"], np.array([0, 1]), epochs=1)
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(table, small, ["doc_id"]).collect()}
+    assert scores[0] == pytest.approx(small.score(raw, np.array([0, len(raw)]))[0], abs=1e-6)
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in simhash.near_duplicates(table).collect()}
+    assert prints[0] == brute_fingerprint(long)
 
 
 # ---- searches ---------------------------------------------------------------------------------------------------------
