@@ -44,6 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` has made and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = f"{shared_dir(spark)}/gridloom/"
+        for folder in {f[: f.rindex("/")] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            if "/gridloom/" in folder and base.split(":", 1)[-1].lstrip("/") in folder:
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32 of the id as text leaves 1 modulo 3; a null id counts as the empty text's crc32, 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 3 == 1

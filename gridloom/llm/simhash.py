@@ -11,11 +11,13 @@ Copies meet before that: the join is over distinct fingerprints, so a group of a
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow, mix64, pick, seg_sum, with_text, written
+from .shared import arrow, drop, mix64, pick, seg_sum, with_text, written
 
 LANES = 0x0101010101010101
 
@@ -42,21 +44,31 @@ def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_hashes(text: bytes, size: int, seed: int) -> list[int]:
-    """XXH64 of each run of ``size`` words (A-Z lower-cased, joined by a space), or of all words where there are fewer."""
+SPACES = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def shingle_hashes(text: bytes, size: int, seed: int, step: int = 1 << 20) -> np.ndarray:
+    """XXH64 of each run of ``size`` words (A-Z lower-cased, joined by a space), or of all words where there are fewer.
+
+    A long text is read in steps of about ``step`` bytes cut at white space; each takes the last words before it along.
+    """
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return []
-    h = xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return [h(b" ".join(words), seed)]
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths) - 1
-    starts = (ends - lengths + 1)[: len(words) - size + 1]
-    return [h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist())]
+    h, out, last, at = xxhash.xxh64_intdigest, [], [], 0
+    while at < len(text):
+        cut = SPACES.search(text, at + step)
+        end = cut.start() if cut else len(text)
+        words = last + text[at:end].lower().split()
+        at = end
+        if len(words) >= size:
+            joined = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate([[0], ends[: len(words) - size] + 1])
+            out.append(np.fromiter((h(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[size - 1 :].tolist())), np.uint64, len(starts)))
+        last = words[max(len(words) - size + 1, 0) :]
+    if out:
+        return np.concatenate(out)
+    return np.array([h(b" ".join(last), seed)] if last else [], np.uint64)
 
 
 BINS, BAND, BANDS = 256, 6, 24
@@ -105,7 +117,7 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
                 lists, size_, b = [], 0, at
                 while b < len(texts) and size_ < 500_000:
                     one = texts[b].as_py()
-                    lists.append(np.array(shingle_hashes((one or "").encode(), size, seed), dtype=np.uint64))
+                    lists.append(shingle_hashes((one or "").encode(), size, seed))
                     size_ += len(lists[-1])
                     b += 1
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
@@ -122,17 +134,23 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
     return arrow(frame, run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
 
 
-def only(rows: DataFrame, pairs: DataFrame, column: str, most_sent: int = 500_000) -> DataFrame:
-    """(row, column) of ``rows`` that ``pairs`` name. Up to a bound the names are sent to the rows, so no others are shuffled."""
+def only(rows: DataFrame, pairs: DataFrame, column: str, scratch: list[DataFrame], most_sent: int = 500_000) -> DataFrame:
+    """(row, column) of ``rows`` that ``pairs`` name. Up to a bound the names are sent to the rows, so no others are shuffled.
+
+    ``scratch``: gets the tables written on the way, which may go once the result has been used.
+    """
     names = written(pairs.select(F.explode(F.array("row", "first")).alias("row")).distinct(), "names")
-    few = names.limit(most_sent + 1).count() <= most_sent
+    scratch.append(names)
     own = rows.select("row", column)
-    return written(own.join(F.broadcast(names), "row", "left_semi"), "named-rows") if few else own
+    if names.limit(most_sent + 1).count() > most_sent:
+        return own
+    scratch.append(written(own.join(F.broadcast(names), "row", "left_semi"), "named-rows"))
+    return scratch[-1]
 
 
-def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def estimates(pairs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """(row, first, guess) of pairs (row, first): the share of equal minima among bins that either sketch has."""
-    named = only(rows, pairs, "sketch")
+    named = only(rows, pairs, "sketch", scratch)
     mine = pairs.join(named.select("row", F.col("sketch").alias("x")), "row").select("first", "row", "x")
     both = mine.join(named.select(F.col("row").alias("first"), F.col("sketch").alias("y")), "first").select("row", "first", "x", "y")
 
@@ -148,9 +166,9 @@ def estimates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return arrow(both, run, "row long, first long, guess double")
 
 
-def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int) -> DataFrame:
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, scratch: list[DataFrame]) -> DataFrame:
     """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
-    named = only(rows, pairs, "text")
+    named = only(rows, pairs, "text", scratch)
     mine = pairs.select("row", "first").join(named.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
     both = mine.join(named.select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
 
@@ -158,13 +176,13 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
         import pyarrow as pa
 
         for batch in batches:
-            keep, last, theirs = [], None, set()
+            keep, last, theirs = [], None, None
             for i in range(batch.num_rows):
                 other = batch.column(1)[i].as_py()
                 if other != last:
-                    last, theirs = other, set(shingle_hashes((batch.column(3)[i].as_py() or "").encode(), size, seed))
-                own = set(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
-                shared = len(own & theirs)
+                    last, theirs = other, np.unique(shingle_hashes((batch.column(3)[i].as_py() or "").encode(), size, seed))
+                own = np.unique(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
+                shared = len(np.intersect1d(own, theirs, assume_unique=True))
                 keep.append(shared >= similarity * (len(own) + len(theirs) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["row", "first"])
 
@@ -184,8 +202,10 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
     found = []
 
     def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        guessed = written(estimates(pairs, rows), "guesses")
-        found.append(written(alike(guessed.where(F.col("guess") >= similarity - slack), rows, similarity, size, seed), "alike"))
+        named: list[DataFrame] = []
+        guessed = written(estimates(pairs, rows, named), "guesses")
+        found.append(written(alike(guessed.where(F.col("guess") >= similarity - slack), rows, similarity, size, seed, named), "alike"))
+        drop(*named)
         return guessed, found[-1]
 
     for _ in range(most_rounds):
@@ -201,7 +221,8 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
         across = told.where("same").join(near, "key").where(F.col("guess") <= F.col("far") + (1 - similarity + slack))
         across = written(across.select("row", "first").distinct(), "across")
         if not across.isEmpty():
-            judged(across)
+            drop(judged(across)[0])
+        drop(first, tagged, guessed, across)
         group = rest.select("row", "key")
     else:
         other = group.select("key", F.col("row").alias("first"))
@@ -237,7 +258,8 @@ def components(edges: DataFrame, salts: int = 16, most_rounds: int = 60) -> Data
     """(node, root): the least node that each node of ``edges`` (a, b: longs) can reach, by alternating stars.
 
     Large star joins a node's larger neighbours to its least one, small star its smaller ones; rounds go on until the
-    edges stay the same. Nothing is collected; each round's edges are written to the shared folder. A node with many
+    edges stay the same (``most_rounds``, far above the logarithm of any corpus, only turns an endless loop into an
+    error). Nothing is collected; each round's edges are written to the shared folder. A node with many
     neighbours is spread by a salt taken from the neighbour.
     """
 
@@ -256,7 +278,8 @@ def components(edges: DataFrame, salts: int = 16, most_rounds: int = 60) -> Data
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
     for _ in range(most_rounds):
-        edges = written(star(star(edges, True), False), "edges")
+        old, edges = edges, written(star(star(edges, True), False), "edges")
+        drop(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -802,8 +802,12 @@ def test_pipeline_stages(spark, nasty):
         docs = spark.createDataFrame(rows, docs.schema)
     packed = corpus_pipeline.run(spark, SF)
     assert packed.count() > 0
+    nothing = docs_of(spark, [None, None]).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes})
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, nasty, SF).collect()
+        assert stage(spark, nasty.limit(0), SF).collect() == [], name
+        kept = stage(spark, nothing, SF).collect()
+        assert len(kept) == {"language_id": 0, "near_dedup": 1, "mix_sources": 0}.get(name, 2), name
 
 
 def test_named_columns_are_the_ones_operators_read():
