@@ -13,7 +13,6 @@ INDICES = ("s2wi", "ndmi", "ndre2", "grvi", "psri", "tdvi", "nbr", "bsi")
 UNCLIPPED = ("psri", "tdvi")
 WINDOWS = {"season": (3, 11), "spring": (3, 5), "summer": (6, 8), "fall": (9, 11)}
 DELTAS = {"spring_delta": ((5, 6), (3, 4)), "fall_delta": ((8, 9), (10, 11))}
-SHORT_NAMES = {"tdv": "tdvi", "ndr": "ndre2", "psr": "psri", "s2w": "s2wi", "ndm": "ndmi", "grv": "grvi"}
 
 
 def _difference(a: str, b: str) -> Column:
@@ -39,14 +38,14 @@ def spectral_indices() -> dict[str, Column]:
 
 
 def legacy_indices(eps: float = 1e-10) -> dict[str, Column]:
-    """The older thirteen, with an additive epsilon where the newer ones have a floor."""
+    """The older thirteen, with an additive epsilon where the newer ones have a floor (fixed values; evi has neither)."""
     c = F.col
     nd = lambda a, b: (c(a) - c(b)) / (c(a) + c(b) + eps)
     root = c("B08") * c("B08") + c("B04") + 0.5
     return {
         "s2wi": nd("B05", "B12"), "ndmi": nd("B08", "B11"), "ndre2": nd("B08", "B06"), "grvi": nd("B03", "B04"), "nbr": nd("B08", "B12"),
         "gndvi": nd("B08", "B03"), "ndbi": nd("B11", "B08"), "psri": (c("B04") - c("B02")) / (c("B06") + eps), "msi": c("B11") / (c("B08") + eps),
-        "ireci": (c("B07") - c("B04")) / (c("B05") / (c("B06") + eps) + eps), "evi": 2.5 * (c("B08") - c("B04")) / (c("B08") + 6.0 * c("B04") - 7.5 * c("B02") + 1.0 + eps),
+        "ireci": (c("B07") - c("B04")) / (c("B05") / (c("B06") + eps) + eps), "evi": 2.5 * (c("B08") - c("B04")) / (c("B08") + 6.0 * c("B04") - 7.5 * c("B02") + 1.0),
         "tdvi": F.when(root > 0, 1.5 * ((c("B08") - c("B04")) / F.sqrt(root))), "bsi": ((c("B11") + c("B04")) - (c("B08") + c("B02"))) / ((c("B11") + c("B04")) + (c("B08") + c("B02")) + eps),
     }
 
@@ -58,7 +57,8 @@ def feature_names() -> list[str]:
 
 
 def feature_sets(columns: list[str]) -> dict[str, list[str]]:
-    """The thirteen feature sets by rules on column names."""
+    """The thirteen feature sets by rules on column names; labels and keys among ``columns`` are in none."""
+    names = set(feature_names())
     pick = lambda f: [c for c in columns if f(c)]
     season = lambda *s: pick(lambda c: any(c.endswith(f"_{x}_median") for x in s))
     return {
@@ -66,5 +66,5 @@ def feature_sets(columns: list[str]) -> dict[str, list[str]]:
         "spring_summer": season("spring", "summer"), "spring_fall": season("spring", "fall"), "summer_fall": season("summer", "fall"),
         "three_seasons": pick(lambda c: c.endswith("_median") and not c.endswith("season_median")), "all_seasons": pick(lambda c: c.endswith("_median")),
         "growing_season": season("season"), "deltas_only": pick(lambda c: c.endswith("delta")), "medians_deltas": pick(lambda c: c.endswith(("median", "delta"))),
-        "iqr_only": pick(lambda c: c.endswith("iqr")), "all_vars": list(columns),
+        "iqr_only": pick(lambda c: c.endswith("iqr")), "all_vars": pick(lambda c: c.startswith("band_") or c in names),
     }

@@ -57,9 +57,9 @@ def mask_class(value: Column, scl: Column, masked: Iterable[int] = MASKED_CLASSE
 
 
 def canopy_bin(pct: Column) -> Column:
-    """0 for exactly 0, 21 for exactly 100, 1 to 20 for five-point steps between, -1 where missing."""
+    """0 up to 0, 21 from 100 on, 1 to 20 for five-point steps between, -1 where missing."""
     step = 1 + F.least(F.greatest(F.floor(pct / 5.0), F.lit(0)), F.lit(19))
-    return F.when(pct.isNull(), -1).when(pct == 0, 0).when(pct == 100, 21).otherwise(step).cast("int")
+    return F.when(pct.isNull() | F.isnan(pct), -1).when(pct <= 0, 0).when(pct >= 100, 21).otherwise(step).cast("int")
 
 
 def floor_bin(v: Column, width: float, top: int) -> Column:

@@ -29,14 +29,18 @@ def interval(score: str, by: list[str], alpha: float = 0.05) -> list[Column]:
     return [F.percentile(score, F.lit(alpha / 2)).alias("ci_low"), F.percentile(score, F.lit(1 - alpha / 2)).alias("ci_high")]
 
 
-def paired_differences(scores: DataFrame, reference: str, sign: int = 1, alpha: float = 0.05) -> DataFrame:
-    """(feature_set, diff, ci_low, ci_high, p_not_better) against ``reference`` over (rep, feature_set, score).
+def paired_differences(scores: DataFrame, points: DataFrame, reference: str, sign: int = 1, alpha: float = 0.05) -> DataFrame:
+    """(feature_set, diff, ci_low, ci_high, p_not_better) against ``reference``.
 
-    Ties count as not better; ``sign`` -1 where lower is better.
+    ``points`` (feature_set, score) has the scores on all rows: ``diff`` is their difference. Interval and p come from
+    ``scores`` (rep, feature_set, score). Ties count as not better; ``sign`` -1 where lower is better.
     """
-    ref = F.max(F.when(F.col("feature_set") == reference, F.col("score"))).over(Window.partitionBy("rep"))
-    d = scores.withColumn("d", F.col("score") - ref).where(F.col("feature_set") != reference)
-    return d.groupBy("feature_set").agg(F.avg("d").alias("diff"), *interval("d", [], alpha), F.avg((sign * F.col("d") <= 0).cast("int")).alias("p_not_better"))
+    mine = lambda by: F.max(F.when(F.col("feature_set") == reference, F.col("score"))).over(Window.partitionBy(*by))
+    others = F.col("feature_set") != reference
+    point = points.withColumn("diff", F.col("score") - mine([])).where(others).select("feature_set", "diff")
+    drawn = scores.withColumn("d", F.col("score") - mine(["rep"])).where(others)
+    spread = drawn.groupBy("feature_set").agg(*interval("d", [], alpha), F.avg((sign * F.col("d") <= 0).cast("int")).alias("p_not_better"))
+    return point.join(spread, "feature_set")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,12 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def forest_pair(train: DataFrame, features: list[str], label: str, target: str, trees: int = 100, seed: int = 42) -> tuple:
+def forest_pair(train: DataFrame, features: list[str], label: str, target: str, trees: int = 100, seed: int = 42, depth: int = 20) -> tuple:
     """(classifier, regressor): whether there is canopy at all, and how much."""
+    train = train.persist(StorageLevel.DISK_ONLY)  # read once for two forests
     ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
-    clf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=min(30, 12), featureSubsetStrategy="sqrt", seed=seed, predictionCol="clf", probabilityCol="clf_p", rawPredictionCol="clf_r")
-    rgr = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=12, minInstancesPerNode=5, featureSubsetStrategy="all", seed=seed, predictionCol="rgr")
-    return Pipeline(stages=[ready, clf]).fit(train), Pipeline(stages=[ready, rgr]).fit(train)
+    clf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, predictionCol="clf", probabilityCol="clf_p", rawPredictionCol="clf_r")
+    rgr = RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="all", seed=seed, predictionCol="rgr")
+    models = Pipeline(stages=[ready, clf]).fit(train), Pipeline(stages=[ready, rgr]).fit(train)
+    train.unpersist()
+    return models
+
+
+def save_pair(models: tuple, path: str) -> None:
+    """Both models under ``path``, in Spark ML's format; what was there is replaced."""
+    for model, name in zip(models, ("clf", "rgr")):
+        model.write().overwrite().save(f"{path}/{name}")
+
+
+def load_pair(path: str) -> tuple:
+    return PipelineModel.load(f"{path}/clf"), PipelineModel.load(f"{path}/rgr")
 
 
 def hurdle(valid: Column, clf: Column, rgr: Column) -> Column:
@@ -80,10 +94,13 @@ def representatives(corr: np.ndarray, features: list[str], strength: list[float]
 
 
 def drop_correlated(corr: np.ndarray, features: list[str], strength: list[float], limit: float = 0.7) -> list[str]:
-    """Features left after dropping the weaker of each pair above ``limit``, in the features' order."""
-    gone: set[int] = set()
-    for i in range(len(features)):
-        for j in range(i + 1, len(features)):
-            if i not in gone and j not in gone and abs(corr[i, j]) > limit:
-                gone.add(i if strength[i] < strength[j] else j)
-    return [f for i, f in enumerate(features) if i not in gone]
+    """Features left after dropping the weaker of each pair above ``limit``, in the features' order.
+
+    Pairs are settled in the order of the table; one that has lost a member already is no pair any more.
+    """
+    kept = np.ones(len(features), bool)
+    for pair in np.argwhere(np.triu(np.abs(corr) > limit, 1)):
+        if kept[pair].all():
+            one, other = pair
+            kept[one if strength[one] < strength[other] else other] = False
+    return [f for f, stays in zip(features, kept) if stays]

@@ -44,31 +44,58 @@ def height_band_fractions(spark, d):
     return out.where("coverage >= 0.8D")
 
 
-# Class name, land-cover code, height from, height to (open where None).
-RULES = [("low_tree", 1, None, 5.0), ("mid_tree", 1, 5.0, 15.0), ("tall_tree", 1, 15.0, None), ("lawn", 2, None, 0.5), ("shrub", 2, 0.5, 2.5), ("tall_grass", 2, 2.5, None), ("soil", 3, None, None), ("water", 4, None, None), ("low_building", 5, None, 15.0), ("tall_building", 5, 15.0, None), ("road", 6, None, None), ("impervious", 7, None, None), ("railroad", 8, None, None)]
-_rules = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {k}, {lo if lo is not None else 'NULL'}::DOUBLE, {hi if hi is not None else 'NULL'}::DOUBLE)" for i, (n, k, lo, hi) in enumerate(RULES)) + ") t(pos, name, code, lo, hi)"
+# Class name, land-cover code, height from (included), height to (not included); None where open.
+RULES = [
+    ("tree_under_2.5m", 1, None, 2.5),
+    ("tree_2.5_5m", 1, 2.5, 5.0),
+    ("tree_5m_plus", 1, 5.0, None),
+    ("lawn", 2, None, 0.5),
+    ("shrub", 2, 0.5, 2.5),
+    ("grass_shrub_2.5m_plus", 2, 2.5, None),
+    ("bare_soil", 3, None, None),
+    ("water", 4, None, None),
+    ("building_under_15m", 5, None, 15.0),
+    ("building_15m_plus", 5, 15.0, None),
+    ("road", 6, None, None),
+    ("other_impervious", 7, None, None),
+    ("railroad", 8, None, None),
+]
 _heights = "SELECT y, x, code, CASE WHEN (y + x) % 17 <> 0 THEN height END AS h FROM grid WHERE code <> 0"
 
 
 def classified(spark, d):
+    """Cells with ``pos`` (from 1) and ``name`` of the last rule that holds for them, NULL where none does."""
     g = views.grid(spark, d).where("code <> 0").withColumn("h", F.when((c("y") + c("x")) % 17 != 0, c("height")))
-    rules = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(RULES)], "pos int, name string, rule_code int, lo double, hi double"))
+    rules = F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(RULES, 1)], "pos int, name string, rule_code int, lo double, hi double"))
     hit = (c("code") == c("rule_code")) & (c("lo").isNull() | (c("h") >= c("lo"))) & (c("hi").isNull() | (c("h") < c("hi")))
     found = g.join(rules, hit, "left").groupBy("y", "x").agg(F.max(F.struct("pos", "name")).alias("best"), F.first("code").alias("code"), F.first("h").alias("h"))
-    return found.select("y", "x", "code", "h", c("best.name").alias("name"))
+    return found.select("y", "x", "code", "h", c("best.pos").alias("pos"), c("best.name").alias("name"))
 
 
-_classified = "SELECT y, x, code, h, max_by(name, pos) AS name FROM (SELECT g.y, g.x, g.code, g.h, r.pos, r.name FROM hts g LEFT JOIN rules r ON g.code = r.code AND (r.lo IS NULL OR g.h >= r.lo) AND (r.hi IS NULL OR g.h < r.hi)) GROUP BY y, x, code, h"
+# written from the classes' definition, not from the table above
+_classified = """SELECT y, x, code, h, CASE
+  WHEN code = 1 AND h < 2.5 THEN 'tree_under_2.5m' WHEN code = 1 AND h < 5 THEN 'tree_2.5_5m' WHEN code = 1 AND h >= 5 THEN 'tree_5m_plus'
+  WHEN code = 2 AND h < 0.5 THEN 'lawn' WHEN code = 2 AND h < 2.5 THEN 'shrub' WHEN code = 2 AND h >= 2.5 THEN 'grass_shrub_2.5m_plus'
+  WHEN code = 3 THEN 'bare_soil' WHEN code = 4 THEN 'water'
+  WHEN code = 5 AND h < 15 THEN 'building_under_15m' WHEN code = 5 AND h >= 15 THEN 'building_15m_plus'
+  WHEN code = 6 THEN 'road' WHEN code = 7 THEN 'other_impervious' WHEN code = 8 THEN 'railroad' END AS name FROM hts"""
+_order = (
+    "'tree_under_2.5m', 'tree_2.5_5m', 'tree_5m_plus', 'lawn', 'shrub', 'grass_shrub_2.5m_plus', 'bare_soil', 'water', "
+    "'building_under_15m', 'building_15m_plus', 'road', 'other_impervious', 'railroad'"
+)
+_fractions = ", ".join(r6(f"avg(coalesce((list_position([{_order}], name) = {i})::INTEGER, 0))", f"class_{i}") for i in range(1, 14))
 
 
-@query(sql("SELECT y, x, name FROM cls", hts=_heights, rules=_rules, cls=_classified))
+@query(sql("SELECT y, x, name FROM cls", hts=_heights, cls=_classified))
 def rule_table_classify(spark, d):
     return classified(spark, d).select("y", "x", "name")
 
 
-@query(sql("SELECT y // 10 AS y, x // 10 AS x, count(*) AS n, count(name) AS n_valid, " + ", ".join(r6(f"avg(coalesce((name = '{n}')::INTEGER, 0))", n) for n, *_ in RULES) + " FROM cls GROUP BY 1, 2", hts=_heights, rules=_rules, cls=_classified))
+@query(sql("SELECT y // 10 AS y, x // 10 AS x, count(*) AS n, count(name) AS n_valid, " + _fractions + " FROM cls GROUP BY 1, 2", hts=_heights, cls=_classified))
 def landcover_height_fractions(spark, d):
-    return classified(spark, d).groupBy(grids.block("y", 10).alias("y"), grids.block("x", 10).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("n_valid"), *[rounded(F.avg(F.coalesce((c("name") == n).cast("int"), F.lit(0)))).alias(n) for n, *_ in RULES])
+    share = [rounded(F.avg(F.coalesce((c("pos") == i).cast("int"), F.lit(0)))).alias(f"class_{i}") for i in range(1, len(RULES) + 1)]
+    coarse = classified(spark, d).groupBy(grids.block("y", 10).alias("y"), grids.block("x", 10).alias("x"))
+    return coarse.agg(F.count(F.lit(1)).alias("n"), F.count("name").alias("n_valid"), *share)
 
 
 @query(sql("SELECT y, x, code FROM (SELECT y // 5 AS y, x // 5 AS x, code, row_number() OVER (PARTITION BY y // 5, x // 5 ORDER BY count(*) DESC, code) AS k FROM grid GROUP BY y // 5, x // 5, code) WHERE k = 1"))
@@ -158,7 +185,7 @@ def rmse_independent_curve(spark, d):
     return out
 
 
-_cbin = "CASE WHEN lidar = 0 THEN 0 WHEN lidar = 100 THEN 21 ELSE 1 + least(greatest(floor(lidar / 5.0), 0), 19) END::INTEGER"
+_cbin = "CASE WHEN lidar <= 0 THEN 0 WHEN lidar >= 100 THEN 21 ELSE 1 + least(greatest(floor(lidar / 5.0), 0), 19) END::INTEGER"
 
 
 @query(sql("SELECT y, x, bin, " + r6("e - avg(e) OVER (PARTITION BY bin)", "resid_adj") + " FROM (SELECT y, x, pred - lidar AS e, " + _cbin + " AS bin FROM valid)"))
@@ -468,10 +495,10 @@ def fixed_edge_bins(spark, d):
     return g.select("y", "x", S.floor_bin(c("lidar"), 10.0, 9).alias("floor_bin"), S.bin_right_closed(c("ratio"), [0.0, 0.01, 0.10, 0.15, 0.20, 0.30, 0.40, 0.50, 0.60], 7).alias("right_bin"))
 
 
-@query(sql("SELECT y, x, a || b AS step, " + r6("a * 25.0::DOUBLE", "lo") + " FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b), (SELECT y, x FROM grid WHERE y < 4 AND x < 4)"))
+@query(sql("SELECT y, x, a || b AS step, " + r6("a * 25.0::DOUBLE", "lo") + " FROM (SELECT unnest(range(4)) AS a), (SELECT unnest(range(4)) AS b), (SELECT y, x FROM grid)"))
 def window_cross_join(spark, d):
     r4 = lambda n: spark.range(4).select(c("id").alias(n))
-    g = views.grid(spark, d).where("y < 4 AND x < 4").select("y", "x")
+    g = views.grid(spark, d).select("y", "x")
     return g.crossJoin(r4("a").crossJoin(r4("b"))).select("y", "x", F.concat(c("a").cast("string"), c("b").cast("string")).alias("step"), rounded(c("a") * 25.0).alias("lo"))
 
 

@@ -77,7 +77,7 @@ def spectral_indices(spark, d):
 
 _E = "0.0000000001::DOUBLE"
 _nd = lambda a, b: f"({a} - {b}) / ({a} + {b} + {_E})"
-LEGACY = {"s2wi": _nd("B05", "B12"), "ndmi": _nd("B08", "B11"), "ndre2": _nd("B08", "B06"), "grvi": _nd("B03", "B04"), "nbr": _nd("B08", "B12"), "gndvi": _nd("B08", "B03"), "ndbi": _nd("B11", "B08"), "psri": f"(B04 - B02) / (B06 + {_E})", "msi": f"B11 / (B08 + {_E})", "ireci": f"(B07 - B04) / (B05 / (B06 + {_E}) + {_E})", "evi": f"2.5 * (B08 - B04) / (B08 + 6.0 * B04 - 7.5 * B02 + 1.0 + {_E})", "tdvi": INDEX_SQL["tdvi"], "bsi": f"((B11 + B04) - (B08 + B02)) / ((B11 + B04) + (B08 + B02) + {_E})"}
+LEGACY = {"s2wi": _nd("B05", "B12"), "ndmi": _nd("B08", "B11"), "ndre2": _nd("B08", "B06"), "grvi": _nd("B03", "B04"), "nbr": _nd("B08", "B12"), "gndvi": _nd("B08", "B03"), "ndbi": _nd("B11", "B08"), "psri": f"(B04 - B02) / (B06 + {_E})", "msi": f"B11 / (B08 + {_E})", "ireci": f"(B07 - B04) / (B05 / (B06 + {_E}) + {_E})", "evi": f"2.5 * (B08 - B04) / (B08 + 6.0 * B04 - 7.5 * B02 + 1.0)", "tdvi": INDEX_SQL["tdvi"], "bsi": f"((B11 + B04) - (B08 + B02)) / ((B11 + B04) + (B08 + B02) + {_E})"}
 
 
 @query(sql("SELECT y, x, obs_date, " + ", ".join(r6(e, k) for k, e in LEGACY.items()) + " FROM merged WHERE B02 IS NOT NULL"))

@@ -14,7 +14,7 @@ from .registry import query
 from .relations import r6, sql
 
 c = F.col
-REPS = 20
+REPS = 1000
 FOLDS = 5
 
 
@@ -130,9 +130,13 @@ def block_bootstrap_ci(spark, d):
     return ci.join(F.broadcast(point), "feature_set").select("feature_set", *r("mean", "ci_low", "ci_high"), "point")
 
 
-@query(sql("SELECT feature_set, " + r6("avg(dd)", "diff") + ", " + r6("quantile_cont(dd, 0.025)", "ci_low") + ", " + r6("quantile_cont(dd, 0.975)", "ci_high") + ", " + r6("avg((-1 * dd <= 0)::INTEGER)", "p_not_better") + ", quantile_cont(dd, 0.025) > 0 OR quantile_cont(dd, 0.975) < 0 AS ci_excludes_zero FROM (SELECT s.feature_set, s.score - b.score AS dd FROM sc s JOIN sc b ON s.rep = b.rep AND b.feature_set = 'all_vars' WHERE s.feature_set <> 'all_vars') GROUP BY feature_set", pb=_pb, sc=_sc))
+_points = "SELECT feature_set, sqrt(sum(sse) / sum(n)) AS score FROM pb GROUP BY 1"
+
+
+@query(sql("SELECT feature_set, " + r6("(SELECT a.score - b.score FROM pts a, pts b WHERE a.feature_set = t.feature_set AND b.feature_set = 'all_vars')", "diff") + ", " + r6("quantile_cont(dd, 0.025)", "ci_low") + ", " + r6("quantile_cont(dd, 0.975)", "ci_high") + ", " + r6("avg((-1 * dd <= 0)::INTEGER)", "p_not_better") + ", quantile_cont(dd, 0.025) > 0 OR quantile_cont(dd, 0.975) < 0 AS ci_excludes_zero FROM (SELECT s.feature_set, s.score - b.score AS dd FROM sc s JOIN sc b ON s.rep = b.rep AND b.feature_set = 'all_vars' WHERE s.feature_set <> 'all_vars') t GROUP BY feature_set", pb=_pb, sc=_sc, pts=_points))
 def paired_differences(spark, d):
-    out = inference.paired_differences(boot_scores(spark, d), "all_vars", -1)
+    points = views.predictions(spark, d).groupBy("feature_set").agg(metrics.rmse(c("y_pred"), c("lidar")).alias("score"))
+    out = inference.paired_differences(boot_scores(spark, d), points, "all_vars", -1)
     return out.select("feature_set", *r("diff", "ci_low", "ci_high", "p_not_better"), ((c("ci_low") > 0) | (c("ci_high") < 0)).alias("ci_excludes_zero"))
 
 

@@ -38,7 +38,7 @@ CTES = {
     "catalog": "SELECT event_id AS id, ts AS datetime, '18T' || upper(substr(event_type, 1, 2)) AS tile, 3.0::DOUBLE + (user_id % 4) * 0.5::DOUBLE AS baseline, (event_id % 101)::DOUBLE AS cloud_cover, json_extract(props, '$.k')::INTEGER AS k FROM events",
     "blocks10": "SELECT DISTINCT block_id FROM preds",
     "numbered": "SELECT block_id, row_number() OVER (ORDER BY block_id) - 1 AS b FROM blocks10",
-    "draws": "SELECT rep, block_id, w FROM (SELECT rep, ('0x' || substr(md5(rep || '_' || j || '_42'), 1, 8))::BIGINT % (SELECT count(*) FROM blocks10) AS b, count(*) AS w FROM (SELECT unnest(range(20)) AS rep), (SELECT unnest(range((SELECT count(*) FROM blocks10))) AS j) GROUP BY 1, 2) JOIN numbered USING (b)",
+    "draws": "SELECT rep, block_id, w FROM (SELECT rep, ('0x' || substr(md5(rep || '_' || j || '_42'), 1, 8))::BIGINT % (SELECT count(*) FROM blocks10) AS b, count(*) AS w FROM (SELECT unnest(range(1000)) AS rep), (SELECT unnest(range((SELECT count(*) FROM blocks10))) AS j) GROUP BY 1, 2) JOIN numbered USING (b)",
 }
 
 

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder, a temporary one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gridloom-")
+    """A fresh path in the cluster's shared folder. Where none is set: a temporary one in local mode, else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="gridloom-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
