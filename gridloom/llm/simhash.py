@@ -99,6 +99,12 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return small, keys
 
 
+def bit_sketch(small: np.ndarray) -> np.ndarray:
+    """Four longs of one bit of each minimum: bits of two texts differ in half of the bins whose minima do."""
+    bits = (mix64(small.astype(np.uint64) + np.uint64(7)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
 def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42, sketch: bool = False) -> DataFrame:
     """``docs``' columns ``keep`` and ``fp``, the 64-bit fingerprint of the whole text as a signed long.
 
@@ -125,13 +131,16 @@ def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42
                 found = {"fp": pa.array(majority(hashes, starts).view(np.int64))}
                 if sketch:
                     small, keys = sketches(hashes, starts)
+                    found["bits"] = pa.ListArray.from_arrays(np.arange(0, 4 * len(small) + 1, 4, dtype=np.int32), pa.array(bit_sketch(small).ravel()))
+                    found["held"] = pa.array((small != 65535).sum(axis=1).astype(np.int32))
+                    found["shingles"] = pa.array([len(np.unique(x)) for x in lists], pa.int32())
                     found["sketch"] = pa.array([x.tobytes() for x in small], pa.binary())
                     found["bands"] = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel().view(np.int64)))
                 own = [batch.column(i).slice(at, b - at) for i in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*own, *found.values()], names=[*keep, *found])
                 at = b
 
-    return arrow(frame, run, f"{schema}, fp long" + ", sketch binary, bands array<long>" * sketch)
+    return arrow(frame, run, f"{schema}, fp long" + ", bits array<long>, held int, shingles int, sketch binary, bands array<long>" * sketch)
 
 
 def only(rows: DataFrame, pairs: DataFrame, column: str, scratch: list[DataFrame], most_sent: int = 500_000) -> DataFrame:
@@ -189,17 +198,22 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
     return arrow(both, run, "row long, first long")
 
 
-def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, most_rounds: int = 3) -> DataFrame:
-    """Pairs (a, b) of fingerprints of rows (row, fp, text, sketch, bands; written) that are that similar.
+def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, rounds: int = 3, deviations: float = 4.0) -> DataFrame:
+    """Pairs (a, b) of fingerprints of rows (of :func:`fingerprints` with sketches, with row and text; written) that are
+    that similar.
 
     They connect every two rows that share a key and have that Jaccard similarity of their shingles. Sketches (standard
-    error about 0.025) only rule out pairs that are ``slack`` below; the others are decided on the texts. In each round
-    the rows of a key are compared with its first row. Those like it are connected by that; the others are grouped anew
-    under the key in the next round. What is like the first row is compared with what is not where the distances to the
-    first row leave room for it (Jaccard distance is a metric). What is left after the rounds is compared pair by pair.
+    error about 0.025) only rule out pairs that are ``slack`` below; the others are decided on the texts. Of rows of equal
+    text one is looked at. First, round by round, the rows of a key are compared with its first row; those like it are
+    connected by that, the others are grouped anew. Then the components of these links are named, and under each key
+    that still holds more than one, rows of different components are compared pair by pair where their distances to the
+    key's first row leave room for it (Jaccard distance is a metric), their numbers of shingles do, and one bit of each
+    minimum differs in no more bins than such a pair's would within ``deviations`` standard deviations. A group of copies, exact or near, is one component
+    by then, so its pairs are never listed; pairs within a component need no link.
     """
-    group = rows.where("bands[0] <> 0").select("row", F.explode("bands").alias("key")).distinct()
-    found = []
+    once = rows.groupBy("fp", F.xxhash64("text").alias("same")).agg(F.min("row").alias("row")).select("row")
+    every = written(rows.where("bands[0] <> 0").join(once, "row", "left_semi").select("row", F.explode("bands").alias("key")).distinct(), "keys")
+    found, group, near = [], every, None
 
     def judged(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         named: list[DataFrame] = []
@@ -208,32 +222,46 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
         drop(*named)
         return guessed, found[-1]
 
-    for _ in range(most_rounds):
+    for _ in range(rounds):
         first = written(group.groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"), "first-rows")
         tagged = written(group.join(first, "key").where("row <> first"), "tagged")
         if tagged.isEmpty():
             break
         guessed, same = judged(tagged.select("row", "first").distinct())
-        known = guessed.join(same.withColumn("same", F.lit(True)), ["row", "first"], "left")
-        told = written(tagged.join(known, ["row", "first"]).select("key", "row", "guess", F.coalesce("same", F.lit(False)).alias("same")), "told")
-        rest = told.where("NOT same")
-        near = rest.where(F.col("guess") >= 2 * similarity - 1 - slack).select("key", F.col("row").alias("first"), F.col("guess").alias("far"))
-        across = told.where("same").join(near, "key").where(F.col("guess") <= F.col("far") + (1 - similarity + slack))
-        across = written(across.select("row", "first").distinct(), "across")
-        if not across.isEmpty():
-            drop(judged(across)[0])
-        drop(first, tagged, guessed, across)
-        group = rest.select("row", "key")
-    else:
-        other = group.select("key", F.col("row").alias("first"))
-        judged(written(group.join(other, "key").where("row > first").select("row", "first").distinct(), "left-pairs"))
+        if near is None:  # distances to the key's first row, which is at no distance from itself
+            near = written(tagged.join(guessed, ["row", "first"]).select("key", "row", "guess").union(first.select("key", F.col("first").alias("row"), F.lit(1.0))), "near")
+        group = written(tagged.join(same, ["row", "first"], "left_anti").select("row", "key"), "rest")
+        drop(first, tagged, guessed)
     prints = rows.select("row", F.col("fp").alias("a"))
-    if not found:
+    if near is None:
         return prints.limit(0).select("a", F.col("a").alias("b"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    both = pairs.distinct().join(prints, "row").join(prints.select(F.col("row").alias("first"), F.col("a").alias("b")), "first")
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for more in tables[1:]:
+            out = out.union(more)
+        return out
+
+    roots = components(union(found).select(F.col("row").alias("a"), F.col("first").alias("b")))
+    known = written(near.join(roots, near["row"] == roots["node"], "left").select("key", "row", "guess", F.coalesce("root", "row").alias("root")), "known")
+    mixed = known.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
+    left = written(known.join(mixed, "key", "left_semi"), "mixed-keys")
+    marks = ("bits", "held", "shingles")
+    left = written(left.join(rows.select("row", *marks), "row"), "mixed-rows")
+    other = left.select("key", F.col("row").alias("first"), F.col("guess").alias("far"), F.col("root").alias("home"), *[F.col(c).alias(f"their_{c}") for c in marks])
+    differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ their_bits[{i}])" for i in range(4)))
+    # bins that either text holds differ in (1 - similarity) / 2 of their bits, here with ``deviations`` more
+    bins = F.greatest("held", "their_held") / similarity
+    unlike = (1 - similarity) / 2
+    room = unlike * bins + deviations * F.sqrt(unlike * (1 - unlike) * bins) + 2
+    sizes = F.least("shingles", "their_shingles") >= similarity * F.greatest("shingles", "their_shingles")
+    apart = (F.col("row") > F.col("first")) & (F.col("root") != F.col("home"))
+    across = left.join(other, "key").where(apart & sizes & (F.abs(F.col("guess") - F.col("far")) <= 1 - similarity + slack) & (differing <= room))
+    across = written(across.select("row", "first").distinct(), "across")
+    if not across.isEmpty():
+        drop(judged(across)[0])
+    drop(every, near, known, left, across)
+    both = union(found).distinct().join(prints, "row").join(prints.select(F.col("row").alias("first"), F.col("a").alias("b")), "first")
     return both.where("a <> b").select("a", "b")
 
 
