@@ -49,11 +49,11 @@ def predict(df: DataFrame, models: tuple, features: list[str]) -> DataFrame:
     return out.withColumn("pred", hurdle(F.lit(True), F.col("clf"), F.col("rgr")))
 
 
-def out_of_fold(df: DataFrame, features: list[str], label: str, target: str, k: int, trees: int = 20, seed: int = 42) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], label: str, target: str, k: int, trees: int = 20, seed: int = 42, depth: int = 20) -> DataFrame:
     """Each row predicted by the models that did not see its fold; rows without a fold have no prediction."""
     out = None
     for fold in range(k):
-        models = forest_pair(df.where(f"fold IS NOT NULL AND fold <> {fold}"), features, label, target, trees, seed)
+        models = forest_pair(df.where(f"fold IS NOT NULL AND fold <> {fold}"), features, label, target, trees, seed, depth)
         part = predict(df.where(f"fold = {fold}"), models, features)
         out = part if out is None else out.unionByName(part)
     return out.unionByName(df.where("fold IS NULL").withColumn("pred", F.lit(None).cast("double")), allowMissingColumns=True)

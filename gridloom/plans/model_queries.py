@@ -271,20 +271,20 @@ def samples(spark, d):
 @query()
 def hurdle_predict(spark, d):
     s, f = samples(spark, d)
-    models = learning.forest_pair(s.where("fold <> 0"), f, "label", "lidar", trees=20)
+    models = learning.forest_pair(s.where("fold <> 0"), f, "label", "lidar", trees=20, depth=12)
     return learning.predict(s.where("fold = 0"), models, f).select("y", "x", "clf", *r("clf_prob", "rgr", "pred"))
 
 
 @query()
 def oof_predict(spark, d):
     s, f = samples(spark, d)
-    return learning.out_of_fold(s, f, "label", "lidar", FOLDS).select("y", "x", "fold", *r("pred"))
+    return learning.out_of_fold(s, f, "label", "lidar", FOLDS, depth=12).select("y", "x", "fold", *r("pred"))
 
 
 @query()
 def rf_importance(spark, d):
     s, f = samples(spark, d)
-    rows = learning.importances(learning.forest_pair(s, f, "label", "lidar", trees=20), f)
+    rows = learning.importances(learning.forest_pair(s, f, "label", "lidar", trees=20, depth=12), f)
     return spark.createDataFrame(rows, "feature string, clf double, rgr double")
 
 
