@@ -77,8 +77,9 @@ BINS, BAND, BANDS = 256, 6, 24
 def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each segment of hashes (16-bit minima in BINS bins, 65535 where a bin is empty; BANDS keys, 0 without a hash).
 
-    A hash's bin is its remainder, so one pass serves all bins. Keys join BAND minima each; empty bins take the next
-    bin's for that, so that short texts have whole bands as well.
+    A hash's bin is its remainder, so one pass serves all bins. Keys join BAND minima each. These are over the whole
+    segment, each under an odd multiplier of its own: with minima of bins, most bins of a short text are empty and
+    would have to borrow, and two short texts that share one shingle would share keys.
     """
     n = len(starts) - 1
     top = np.uint64(2**64 - 1)
@@ -87,15 +88,14 @@ def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     np.minimum.at(low, owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64), hashes // np.uint64(BINS))
     low = low.reshape(n, BINS)
     small = np.where(low == top, 65535, mix64(low) % np.uint64(65535)).astype("<u2")
-    full = low.copy()
-    for step in (1, 2, 4, 8, 16, 32, 64, 128):
-        full = np.where(full == top, np.roll(full, -step, axis=1), full)
     keys = np.zeros((n, BANDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            for k in range(BAND):
-                keys[:, b] = mix64(keys[:, b] + full[:, b * BAND + k] + np.uint64(b + 1))
-    keys[np.diff(starts) == 0] = 0
+    some = np.flatnonzero(np.diff(starts))
+    if len(some):
+        odd = mix64(np.arange(1, BAND * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
+        with np.errstate(over="ignore"):
+            for i in range(BAND * BANDS):
+                least = np.minimum.reduceat(hashes * odd[i], starts[some])
+                keys[some, i // BAND] = mix64(keys[some, i // BAND] + least + np.uint64(i // BAND + 1))
     return small, keys
 
 
@@ -175,8 +175,11 @@ def estimates(pairs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> Da
     return arrow(both, run, "row long, first long, guess double")
 
 
-def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, scratch: list[DataFrame]) -> DataFrame:
-    """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
+def against(pairs: DataFrame, rows: DataFrame, size: int, seed: int, scratch: list[DataFrame], others: bool = False) -> DataFrame:
+    """(row, first, shared, own, theirs) of pairs (row, first): numbers of different shingles, from the texts.
+
+    With ``others`` also ``rest``: the shingles of the row that the first has not.
+    """
     named = only(rows, pairs, "text", scratch)
     mine = pairs.select("row", "first").join(named.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
     both = mine.join(named.select(F.col("row").alias("first"), F.col("text").alias("y")), "first").select("row", "first", "x", "y")
@@ -185,17 +188,102 @@ def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed:
         import pyarrow as pa
 
         for batch in batches:
-            keep, last, theirs = [], None, None
-            for i in range(batch.num_rows):
-                other = batch.column(1)[i].as_py()
-                if other != last:
-                    last, theirs = other, np.unique(shingle_hashes((batch.column(3)[i].as_py() or "").encode(), size, seed))
-                own = np.unique(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
-                shared = len(np.intersect1d(own, theirs, assume_unique=True))
-                keep.append(shared >= similarity * (len(own) + len(theirs) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["row", "first"])
+            last, theirs = None, None
+            for at in range(0, batch.num_rows, 256):
+                counts, rests = [], []
+                for i in range(at, min(at + 256, batch.num_rows)):
+                    first = batch.column(1)[i].as_py()
+                    if first != last:
+                        last, theirs = first, np.unique(shingle_hashes((batch.column(3)[i].as_py() or "").encode(), size, seed))
+                    own = np.unique(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
+                    rest = np.setdiff1d(own, theirs, assume_unique=True)
+                    counts.append((len(own) - len(rest), len(own), len(theirs)))
+                    rests.append(rest.view(np.int64))
+                found = [batch.column(c).slice(at, len(counts)) for c in (0, 1)]
+                found += [pa.array(c, pa.int32()) for c in zip(*counts)]
+                found += [pa.array(rests, pa.list_(pa.int64()))] * others
+                yield pa.RecordBatch.from_arrays(found, names=["row", "first", "shared", "own", "theirs", "rest"][: len(found)])
+
+    return arrow(both, run, "row long, first long, shared int, own int, theirs int" + ", rest array<long>" * others)
+
+
+def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, scratch: list[DataFrame]) -> DataFrame:
+    """Those pairs (row, first) whose texts' sets of shingles have that Jaccard similarity, exactly."""
+    found = against(pairs, rows, size, seed, scratch)
+    return found.where(F.col("shared") >= similarity * (F.col("own") + F.col("theirs") - F.col("shared"))).select("row", "first")
 
-    return arrow(both, run, "row long, first long")
+
+def uncommon(named: DataFrame, size: int, seed: int) -> DataFrame:
+    """(row, alone): how many different shingles of a row no row of another root has, from (row, root, text).
+
+    A lower bound: a shingle that more than two rows of one root have counts for two of them. Rows with none are left out.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.unique(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed)).view(np.int64)
+                for at in range(0, len(own), 1 << 16):
+                    part = own[at : at + (1 << 16)]
+                    same = [pa.array(np.full(len(part), batch.column(c)[i].as_py(), np.int64)) for c in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(part)], names=["row", "root", "shingle"])
+
+    each = arrow(named.select("row", "root", "text"), run, "row long, root long, shingle long")
+    ends = each.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("row").alias("a"), F.max("row").alias("b"))
+    holders = ends.where("low = high").select(F.explode(F.array_distinct(F.array("a", "b"))).alias("row"))
+    return holders.groupBy("row").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def across(known: DataFrame, rows: DataFrame, s: float, size: int, seed: int, deviations: float, scratch: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """From (key, row, root): links (row, first) of similarity ``s``, and further pairs of rows under one key that may be.
+
+    A pair at ``s`` shares at least ``s / (1 + s)`` of the sum of both sizes. Shingles that no other root has count
+    against any pair, which rules out rows. Each key's pivot is the row left with the largest reach, in a group of
+    versions the one nearest their origin; all rows of the key are compared with it on the texts. Two rows of which at
+    least one is unlike the pivot can only be alike if they share a shingle that the pivot has not, or if each shares
+    enough with the pivot itself. Either is a join; none lists all pairs of a group of versions. What comes out has
+    also passed Jaccard distances to the pivot (a metric), sizes, and one bit of each minimum, which must not differ in
+    more bins than such a pair's would within ``deviations`` standard deviations.
+    """
+    marks = ("bits", "held", "shingles")
+    reach = lambda shared: shared * ((1 + s) / s) - F.col("shingles") + 1e-6  # noqa: E731  the largest partner; a margin for rounding
+    mixed = known.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
+    left = written(known.join(mixed, "key", "left_semi"), "mixed-keys")
+    members = written(left.select("row", "root").distinct(), "mixed-members")
+    alone = uncommon(members.join(only(rows, members.select("row", F.col("row").alias("first")), "text", scratch), "row"), size, seed)
+    members = members.join(alone, "row", "left").join(rows.select("row", *marks), "row")
+    members = written(members.withColumn("reach", reach(F.col("shingles") - F.coalesce("alone", F.lit(0)))), "members")
+    left = left.select("key", "row").join(members.select("row", "shingles", "reach"), "row")
+    least = left.groupBy("key").agg(F.min("shingles").alias("smallest"))
+    left = written(left.join(least, "key").where("reach >= smallest").drop("smallest"), "reaching-rows")
+    pivots = left.groupBy("key").agg(F.max_by("row", F.struct("reach", -F.col("row"))).alias("first"))
+    pairs = written(left.join(pivots, "key").where("row <> first").select("row", "first").distinct(), "pivoted")
+    union = F.col("own") + F.col("theirs") - F.col("shared")
+    met = against(pairs, rows, size, seed, scratch, others=True).withColumn("jaccard", F.col("shared") / union)
+    met = met.withColumn("linked", F.col("shared") >= s * union).select("row", "first", "shared", "rest", "jaccard", "linked")
+    met = met.join(members.select("row", "root", *marks), "row").join(members.select(F.col("row").alias("first"), F.col("root").alias("pivot")), "first")
+    met = met.withColumn("home", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("root")))
+    met = written(met.withColumn("reach", reach(F.col("shared"))), "met")
+    scratch += [left, members, pairs, met]
+    links_ = written(met.where("linked").select("row", "first"), "pivot-links")
+    other = met.select("first", *[F.col(c).alias(f"their_{c}") for c in ("row", "home", "reach", "jaccard", "rest", *marks)])
+    differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ their_bits[{i}])" for i in range(4)))
+    # bins that either text holds differ in (1 - s) / 2 of their bits, here with ``deviations`` more
+    bins, unlike = F.greatest("held", "their_held") / s, (1 - s) / 2
+    may = differing <= unlike * bins + deviations * F.sqrt(unlike * (1 - unlike) * bins) + 2
+    may &= F.least("shingles", "their_shingles") >= s * F.greatest("shingles", "their_shingles")
+    may &= F.abs(F.col("jaccard") - F.col("their_jaccard")) <= 1 - s + 1e-9
+    # of two rows unlike the pivot the larger one looks for the smaller
+    may &= (F.col("home") != F.col("their_home")) & ((F.col("their_home") == F.col("pivot")) | (F.col("row") > F.col("their_row")))
+    apart = met.where("home <> pivot")
+    within = (F.col("their_shingles") <= F.col("reach")) & (F.col("shingles") <= F.col("their_reach"))
+    least = met.groupBy("first").agg(F.min("shingles").alias("smallest"))
+    through = apart.drop("rest").join(least, "first").where("reach >= smallest").join(other.drop("their_rest"), "first").where(may & within)
+    beside = apart.withColumn("shingle", F.explode("rest")).drop("rest").join(other.withColumn("shingle", F.explode("their_rest")).drop("their_rest"), ["first", "shingle"]).where(may)
+    name = (F.col("row"), F.col("their_row").alias("first"))
+    return links_, written(through.select(*name).union(beside.select(*name)).distinct(), "across")
 
 
 def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: float = 0.1, rounds: int = 3, deviations: float = 4.0) -> DataFrame:
@@ -205,11 +293,9 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
     They connect every two rows that share a key and have that Jaccard similarity of their shingles. Sketches (standard
     error about 0.025) only rule out pairs that are ``slack`` below; the others are decided on the texts. Of rows of equal
     text one is looked at. First, round by round, the rows of a key are compared with its first row; those like it are
-    connected by that, the others are grouped anew. Then the components of these links are named, and under each key
-    that still holds more than one, rows of different components are compared pair by pair where their distances to the
-    key's first row leave room for it (Jaccard distance is a metric), their numbers of shingles do, and one bit of each
-    minimum differs in no more bins than such a pair's would within ``deviations`` standard deviations. A group of copies, exact or near, is one component
-    by then, so its pairs are never listed; pairs within a component need no link.
+    connected by that, the others are grouped anew. Then the components of these links are named, and :func:`across`
+    lists pairs of different components under the keys that still hold more than one. A group of copies, exact or near,
+    is one component by then; pairs within a component need no link.
     """
     once = rows.groupBy("fp", F.xxhash64("text").alias("same")).agg(F.min("row").alias("row")).select("row")
     every = written(rows.where("bands[0] <> 0").join(once, "row", "left_semi").select("row", F.explode("bands").alias("key")).distinct(), "keys")
@@ -228,8 +314,8 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
         if tagged.isEmpty():
             break
         guessed, same = judged(tagged.select("row", "first").distinct())
-        if near is None:  # distances to the key's first row, which is at no distance from itself
-            near = written(tagged.join(guessed, ["row", "first"]).select("key", "row", "guess").union(first.select("key", F.col("first").alias("row"), F.lit(1.0))), "near")
+        if near is None:
+            near = written(tagged.select("key", "row").union(first.select("key", F.col("first").alias("row"))), "near")
         group = written(tagged.join(same, ["row", "first"], "left_anti").select("row", "key"), "rest")
         drop(first, tagged, guessed)
     prints = rows.select("row", F.col("fp").alias("a"))
@@ -243,24 +329,13 @@ def similar(rows: DataFrame, similarity: float, size: int, seed: int, slack: flo
         return out
 
     roots = components(union(found).select(F.col("row").alias("a"), F.col("first").alias("b")))
-    known = written(near.join(roots, near["row"] == roots["node"], "left").select("key", "row", "guess", F.coalesce("root", "row").alias("root")), "known")
-    mixed = known.groupBy("key").agg((F.min("root") < F.max("root")).alias("mixed")).where("mixed").select("key")
-    left = written(known.join(mixed, "key", "left_semi"), "mixed-keys")
-    marks = ("bits", "held", "shingles")
-    left = written(left.join(rows.select("row", *marks), "row"), "mixed-rows")
-    other = left.select("key", F.col("row").alias("first"), F.col("guess").alias("far"), F.col("root").alias("home"), *[F.col(c).alias(f"their_{c}") for c in marks])
-    differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ their_bits[{i}])" for i in range(4)))
-    # bins that either text holds differ in (1 - similarity) / 2 of their bits, here with ``deviations`` more
-    bins = F.greatest("held", "their_held") / similarity
-    unlike = (1 - similarity) / 2
-    room = unlike * bins + deviations * F.sqrt(unlike * (1 - unlike) * bins) + 2
-    sizes = F.least("shingles", "their_shingles") >= similarity * F.greatest("shingles", "their_shingles")
-    apart = (F.col("row") > F.col("first")) & (F.col("root") != F.col("home"))
-    across = left.join(other, "key").where(apart & sizes & (F.abs(F.col("guess") - F.col("far")) <= 1 - similarity + slack) & (differing <= room))
-    across = written(across.select("row", "first").distinct(), "across")
-    if not across.isEmpty():
-        drop(judged(across)[0])
-    drop(every, near, known, left, across)
+    known = written(near.join(roots, near["row"] == roots["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root")), "known")
+    scratch: list[DataFrame] = []
+    linked, pairs = across(known, rows, similarity, size, seed, deviations, scratch)
+    found.append(linked)
+    if not pairs.isEmpty():
+        drop(judged(pairs)[0])
+    drop(every, near, known, pairs, *scratch)
     both = union(found).distinct().join(prints, "row").join(prints.select(F.col("row").alias("first"), F.col("a").alias("b")), "first")
     return both.where("a <> b").select("a", "b")
 

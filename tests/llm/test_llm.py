@@ -157,6 +157,35 @@ def test_similar_pairs_behind_a_dissimilar_first_document_are_linked(spark):
     assert kept == set(root)
 
 
+def test_versions_of_one_text_are_grouped_as_all_pairs_would(spark):
+    rng, names, texts = random.Random(5), [f"w{i}" for i in range(3000)], []
+    for family in range(3):
+        base = [rng.choice(names) for _ in range(90 + 30 * family)]
+        edits = [(rng.randrange(len(base)), rng.choice(names)) for _ in range(12)]
+        for _ in range(70):  # changes of its own, and some that other versions have as well
+            own = list(base)
+            for at, word in [(rng.randrange(len(base)), rng.choice(names)) for _ in range(rng.randrange(6))] + rng.sample(edits, rng.randrange(5)):
+                own[at] = word
+            texts.append(own[rng.randrange(4) : len(own) - rng.randrange(4)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    expected = {i for i in range(len(texts)) if find(i) == i}
+    assert 3 < len(expected) < 150
+    kept = {r["doc_id"] for r in simhash.keep_one(docs_of(spark, [" ".join(t) for t in texts]), distance=0).collect()}
+    assert kept == expected
+
+
 def test_exactly_the_declared_similarity_decides(spark):
     rng = random.Random(32)
     texts, near = [], []
