@@ -72,6 +72,8 @@ def shingle_hashes(text: bytes, size: int, seed: int, step: int = 1 << 20) -> np
 
 
 BINS, BAND, BANDS = 256, 6, 24
+#: Longs of a set's marks (:func:`marked`).
+MARKS = 8
 
 
 def sketches(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +107,13 @@ def bit_sketch(small: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
+def marked(hashes: np.ndarray) -> np.ndarray:
+    """MARKS longs with one bit for each remainder that occurs among the hashes, so a set has at least as many elements."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[hashes % np.uint64(64 * MARKS)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def fingerprints(docs: DataFrame, keep: list[str], size: int = 3, seed: int = 42, sketch: bool = False) -> DataFrame:
     """``docs``' columns ``keep`` and ``fp``, the 64-bit fingerprint of the whole text as a signed long.
 
@@ -178,7 +187,8 @@ def estimates(pairs: DataFrame, rows: DataFrame, scratch: list[DataFrame]) -> Da
 def against(pairs: DataFrame, rows: DataFrame, size: int, seed: int, scratch: list[DataFrame], others: bool = False) -> DataFrame:
     """(row, first, shared, own, theirs) of pairs (row, first): numbers of different shingles, from the texts.
 
-    With ``others`` also ``rest``: the shingles of the row that the first has not.
+    With ``others`` also ``rest``, the shingles of the row that the first has not, their marks, and those of the
+    shingles that the row lacks.
     """
     named = only(rows, pairs, "text", scratch)
     mine = pairs.select("row", "first").join(named.select("row", F.col("text").alias("x")), "row").select("first", "row", "x")
@@ -190,7 +200,7 @@ def against(pairs: DataFrame, rows: DataFrame, size: int, seed: int, scratch: li
         for batch in batches:
             last, theirs = None, None
             for at in range(0, batch.num_rows, 256):
-                counts, rests = [], []
+                counts, rests, marks = [], [], []
                 for i in range(at, min(at + 256, batch.num_rows)):
                     first = batch.column(1)[i].as_py()
                     if first != last:
@@ -198,13 +208,16 @@ def against(pairs: DataFrame, rows: DataFrame, size: int, seed: int, scratch: li
                     own = np.unique(shingle_hashes((batch.column(2)[i].as_py() or "").encode(), size, seed))
                     rest = np.setdiff1d(own, theirs, assume_unique=True)
                     counts.append((len(own) - len(rest), len(own), len(theirs)))
-                    rests.append(rest.view(np.int64))
+                    if others:
+                        rests.append(rest.view(np.int64))
+                        marks.append((marked(rest), marked(np.setdiff1d(theirs, own, assume_unique=True))))
                 found = [batch.column(c).slice(at, len(counts)) for c in (0, 1)]
                 found += [pa.array(c, pa.int32()) for c in zip(*counts)]
-                found += [pa.array(rests, pa.list_(pa.int64()))] * others
-                yield pa.RecordBatch.from_arrays(found, names=["row", "first", "shared", "own", "theirs", "rest"][: len(found)])
+                if others:
+                    found += [pa.array(x, pa.list_(pa.int64())) for x in (rests, *zip(*marks))]
+                yield pa.RecordBatch.from_arrays(found, names=["row", "first", "shared", "own", "theirs", "rest", "has", "lacks"][: len(found)])
 
-    return arrow(both, run, "row long, first long, shared int, own int, theirs int" + ", rest array<long>" * others)
+    return arrow(both, run, "row long, first long, shared int, own int, theirs int" + ", rest array<long>, has array<long>, lacks array<long>" * others)
 
 
 def alike(pairs: DataFrame, rows: DataFrame, similarity: float, size: int, seed: int, scratch: list[DataFrame]) -> DataFrame:
@@ -244,8 +257,10 @@ def across(known: DataFrame, rows: DataFrame, s: float, size: int, seed: int, de
     versions the one nearest their origin; all rows of the key are compared with it on the texts. Two rows of which at
     least one is unlike the pivot can only be alike if they share a shingle that the pivot has not, or if each shares
     enough with the pivot itself. Either is a join; none lists all pairs of a group of versions. What comes out has
-    also passed Jaccard distances to the pivot (a metric), sizes, and one bit of each minimum, which must not differ in
-    more bins than such a pair's would within ``deviations`` standard deviations.
+    also passed Jaccard distances to the pivot (a metric), sizes, the most shingles that two rows can share by the marks of
+    what each has beside the pivot and lacks of it (a bound, which loses nothing, so of a group of versions hardly more
+    than the similar pairs come out), and one bit of each minimum, which must not differ in more bins than such a pair's
+    would within ``deviations`` standard deviations.
     """
     marks = ("bits", "held", "shingles")
     reach = lambda shared: shared * ((1 + s) / s) - F.col("shingles") + 1e-6  # noqa: E731  the largest partner; a margin for rounding
@@ -262,19 +277,25 @@ def across(known: DataFrame, rows: DataFrame, s: float, size: int, seed: int, de
     pairs = written(left.join(pivots, "key").where("row <> first").select("row", "first").distinct(), "pivoted")
     union = F.col("own") + F.col("theirs") - F.col("shared")
     met = against(pairs, rows, size, seed, scratch, others=True).withColumn("jaccard", F.col("shared") / union)
-    met = met.withColumn("linked", F.col("shared") >= s * union).select("row", "first", "shared", "rest", "jaccard", "linked")
+    met = met.withColumn("linked", F.col("shared") >= s * union).select("row", "first", "shared", "theirs", "rest", "has", "lacks", "jaccard", "linked")
     met = met.join(members.select("row", "root", *marks), "row").join(members.select(F.col("row").alias("first"), F.col("root").alias("pivot")), "first")
     met = met.withColumn("home", F.when(F.col("linked"), F.col("pivot")).otherwise(F.col("root")))
     met = written(met.withColumn("reach", reach(F.col("shared"))), "met")
     scratch += [left, members, pairs, met]
     links_ = written(met.where("linked").select("row", "first"), "pivot-links")
-    other = met.select("first", *[F.col(c).alias(f"their_{c}") for c in ("row", "home", "reach", "jaccard", "rest", *marks)])
+    other = met.select("first", *[F.col(c).alias(f"their_{c}") for c in ("row", "home", "reach", "jaccard", "shared", "rest", "has", "lacks", *marks)])
     differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ their_bits[{i}])" for i in range(4)))
     # bins that either text holds differ in (1 - s) / 2 of their bits, here with ``deviations`` more
     bins, unlike = F.greatest("held", "their_held") / s, (1 - s) / 2
     may = differing <= unlike * bins + deviations * F.sqrt(unlike * (1 - unlike) * bins) + 2
     may &= F.least("shingles", "their_shingles") >= s * F.greatest("shingles", "their_shingles")
     may &= F.abs(F.col("jaccard") - F.col("their_jaccard")) <= 1 - s + 1e-9
+    # shared: those of the pivot that neither lacks, and beside it no more than each has less those that the other has not
+    bit_sum = lambda form: F.expr(" + ".join(f"bit_count({form.format(i=i)})" for i in range(MARKS)))
+    mine = F.col("shingles") - F.col("shared") - bit_sum("has[{i}] & ~their_has[{i}]")
+    theirs = F.col("their_shingles") - F.col("their_shared") - bit_sum("their_has[{i}] & ~has[{i}]")
+    most = F.col("theirs") - bit_sum("lacks[{i}] | their_lacks[{i}]") + F.least(mine, theirs)
+    may &= most >= (F.col("shingles") + F.col("their_shingles")) * (s / (1 + s)) - 1e-6
     # of two rows unlike the pivot the larger one looks for the smaller
     may &= (F.col("home") != F.col("their_home")) & ((F.col("their_home") == F.col("pivot")) | (F.col("row") > F.col("their_row")))
     apart = met.where("home <> pivot")

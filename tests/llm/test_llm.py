@@ -186,6 +186,28 @@ def test_versions_of_one_text_are_grouped_as_all_pairs_would(spark):
     assert kept == expected
 
 
+def test_versions_that_are_not_similar_are_hardly_listed(spark):
+    rng, names = random.Random(6), [f"w{i}" for i in range(3000)]
+    base = [rng.choice(names) for _ in range(150)]
+    edits = [(rng.randrange(len(base)), rng.choice(names)) for _ in range(40)]
+    texts = [list(base) for _ in range(120)]
+    for own in texts[1:]:  # changes that some of the others have too, so rows unlike the pivot share shingles it has not
+        for at, word in rng.sample(edits, 7):
+            own[at] = word
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    alike = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    marked = docs_of(spark, [" ".join(t) for t in texts]).select("doc_id", "text", F.col("doc_id").alias("row"))
+    rows = simhash.written(simhash.fingerprints(marked, ["row", "doc_id", "text"], 5, 42, True), "test-rows")
+    known = rows.select(F.lit(1).cast("long").alias("key"), "row", F.col("row").alias("root"))
+    linked, listed = simhash.across(known, rows, 0.8, 5, 42, 4.0, [])
+    through = {tuple(sorted((r["row"], r["first"]), reverse=True)) for r in linked.collect()}
+    found = {tuple(sorted((r["row"], r["first"]), reverse=True)) for r in listed.collect()}
+    joined = brute_components(range(len(texts)), through | (found & alike))
+    assert joined == brute_components(range(len(texts)), alike)
+    assert len(found - alike) < 0.05 * len(pairs)
+
+
 def test_exactly_the_declared_similarity_decides(spark):
     rng = random.Random(32)
     texts, near = [], []
