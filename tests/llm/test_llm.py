@@ -770,6 +770,18 @@ def test_passages_at_the_declared_similarity_are_found(spark):
     assert len({r["doc_id"] for r in rows}) >= 27
 
 
+def test_passages_whose_parts_come_first_elsewhere_are_found(spark):
+    rng = random.Random(23)
+    own = lambda n: sentence(rng, n, 100000).split()
+    texts, wanted = [], set()
+    for _ in range(10):  # two documents have half of a passage each, then three have the whole
+        passage, at = own(72), len(texts)
+        texts += [" ".join(own(60) + part + own(50)) for part in (passage[:36], passage[36:], passage, passage, passage[:50] + ["other"] + passage[51:])]
+        wanted |= {(at + 3, at + 2), (at + 4, at + 2), (at + 4, at + 3)}
+    rows = chaining.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in rows} == wanted and all(r["n_words"] >= 70 for r in rows)
+
+
 def test_passages_of_one_to_three_words_over_and_over_are_found(spark):
     rng = random.Random(22)
     own = lambda n: sentence(rng, n, 100000)
