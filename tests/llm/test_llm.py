@@ -99,6 +99,25 @@ def test_components_of_chains_and_stars(spark):
     assert {n: want[n] for n in got} == got and all(n in got for n in want if want[n] != n)
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    rng = random.Random(31)
+    edges = [(i, i + 1) for i in range(300)] + [(5000, -i) for i in range(40)] + [tuple(rng.sample(range(6000, 6200), 2)) for _ in range(150)] + [(9, 9), (-77, -78), (-78, -77)]
+    rng.shuffle(edges)
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        got = {r["node"]: r["root"] for r in simhash.components(table).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = brute_components({x for e in edges for x in e}, edges)
+    assert {n: want[n] for n in got} == got and all(n in got for n in want if want[n] != n)
+    assert 0 < jobs <= 12
+    stars = {r["node"]: r["root"] for r in simhash.components(table, most_local=0).collect()}
+    assert {n: r for n, r in got.items() if n != r} == {n: r for n, r in stars.items() if n != r}
+    assert simhash.components(table.limit(0)).count() == 0
+
+
 def test_keep_one_leaves_one_row_of_each_component(spark, nasty, empty):
     rng = random.Random(4)
     a, b = sentence(rng, 200), sentence(rng, 200)
