@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import chaining, langid, linededup, maxscore, mixing, multiindex, packing, quality, queries, simhash, warc
-from gridloom.llm.shared import NAMED, held_out, slices, word_hashes
+from gridloom.llm.shared import NAMED, held_out, shared_dir, slices, word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -801,6 +802,27 @@ def test_passages_whose_parts_come_first_elsewhere_are_found(spark):
     assert {(r["doc_id"], r["ref_doc_id"]) for r in rows} == wanted and all(r["n_words"] >= 70 for r in rows)
 
 
+def test_first_matches_shuffle_seeds_once_and_leave_no_tables(spark):
+    rng = random.Random(33)
+    shared = [sentence(rng, 60) for _ in range(3)]
+    texts = [" ".join([sentence(rng, 20), rng.choice(shared), sentence(rng, 20)]) for _ in range(300)] + ["a b c d e"] * 3
+    base = docs_of(spark, texts).selectExpr("doc_id", "hash(text) AS dup", "text")
+    rows = [tuple(r) for r in chaining.seeds(base, 4, 0.4, 12).select("seed", "doc_id", "dup", "pos").collect()]
+    first = {}
+    for seed, *place in rows:
+        first[seed] = min(first.get(seed, place), place)
+    want = Counter((*r, *first[r[0]]) for r in rows if list(r[1:3]) != first[r[0]][:2])
+    few, hot = chaining.first_matches(base, 4, 0.4, 12, 10**6), chaining.first_matches(base, 4, 0.4, 12, 64)
+    assert Counter(map(tuple, few.collect())) == want == Counter(map(tuple, hot.collect())) and few.columns == hot.columns == chaining.MATCH
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert plan(few).count("Exchange hashpartitioning") == 1 and "Join" not in plan(few) and "BroadcastHashJoin" in plan(hot)
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "gridloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    assert chaining.repeated_passages(docs_of(spark, texts)).count() > 100
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert not left & {"matches", "chains", "chain-words", "open-chains", "open-seeds", "open-counts"}
+
+
 def test_passages_of_one_to_three_words_over_and_over_are_found(spark):
     rng = random.Random(22)
     own = lambda n: sentence(rng, n, 100000)
